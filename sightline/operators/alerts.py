@@ -26,13 +26,9 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def risk_alerts(s: DataFrame, as_of: Column, cell: float = 0.01, min_n: int = 3) -> DataFrame:
-    """Critical, warning and info alerts of the day: level, title, description, action."""
-    recent = not_removed(F.col("is_removed")) & (days_between(F.col("created_at"), as_of) < 7)
-    counts = s.agg(
-        F.count_if(recent & risk_is_high(F.col("risk_level"))).alias("critical_n"), F.count_if(recent).alias("recent_n")
-    ).withColumn("hotspots", count_hotspots(s, cell, min_n).scalar())
-    rows = _rules([
+def alert_rows() -> Column:
+    """Alert rows that follow from critical_n, recent_n and hotspots."""
+    return _rules([
         (F.col("critical_n") > 0, [
             F.lit("critical"), F.lit("New Invasive Species Detected"),
             _text(F.col("critical_n"), " high-risk invasive species sightings in the past week. Immediate containment required."),
@@ -46,7 +42,15 @@ def risk_alerts(s: DataFrame, as_of: Column, cell: float = 0.01, min_n: int = 3)
             F.lit("Detection activity below normal levels. Consider increasing monitoring efforts."),
             F.lit("Schedule additional surveys")]),
     ], ["level", "title", "description", "action"])
-    return counts.select(F.inline(rows))
+
+
+def risk_alerts(s: DataFrame, as_of: Column, cell: float = 0.01, min_n: int = 3) -> DataFrame:
+    """Critical, warning and info alerts of the day: level, title, description, action."""
+    recent = not_removed(F.col("is_removed")) & (days_between(F.col("created_at"), as_of) < 7)
+    counts = s.agg(
+        F.count_if(recent & risk_is_high(F.col("risk_level"))).alias("critical_n"), F.count_if(recent).alias("recent_n")
+    ).withColumn("hotspots", count_hotspots(s, cell, min_n).scalar())
+    return counts.select(F.inline(alert_rows()))
 
 
 def priorities(s: DataFrame, cell: float = 0.01, min_n: int = 3) -> DataFrame:
