@@ -420,7 +420,7 @@ def recommendations(spark, d):
 # stored notifications: one per sighting with a risk, the type from its parity
 NOTES = """
 SELECT CAST(sighting_id AS VARCHAR) AS id, CASE WHEN sighting_id % 2 = 0 THEN 'risk' ELSE 'weather' END AS type,
- coalesce(predicted_species,'Species') || ' Detected' AS title, 'Seen by owner ' || owner AS description,
+ coalesce(predicted_species,'Species') || ' Detected' AS title, 'Seen by owner ' || owner || ' in lot ' || (sighting_id % 97) AS description,
  CASE risk_level WHEN 'High' THEN 'critical' WHEN 'Medium' THEN 'warning' ELSE 'info' END AS level,
  sighting_id % 3 = 0 AS dismissed FROM sightings WHERE risk_level IS NOT NULL"""
 
