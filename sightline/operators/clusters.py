@@ -9,13 +9,20 @@ pair of ordinary places is ever formed. The result does not depend on the partit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.geo import SphereGrid, haversine_km
+from sightline.functions.geo import EARTH_RADIUS_KM, SphereGrid, haversine_km
 from sightline.operators.predicates import has_location, not_removed
 from sightline.session import cut
 
+#: Places that one task may finish; above it the work is done in rounds over all tasks.
+TAIL = 10_000
+
 
 def _rank():
     """Order key, smallest for the newest sighting; ties go to the smaller id."""
@@ -41,15 +48,46 @@ def _within(km: float):
     return haversine_km(F.col("lead_lng"), F.col("lead_lat"), F.col("lng"), F.col("lat")) <= km
 
 
-def leaders_of(places: DataFrame, km: float) -> DataFrame:
-    """Leaders (lng, lat, rank, cell) of the distinct places."""
+def _finish(places: DataFrame, km: float) -> DataFrame:
+    """Leaders among the few places that are still open, in one task of at most ``TAIL`` rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        pdf = pd.concat(parts).sort_values(["age", "id"], ignore_index=True)
+        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
+        undecided, leads = np.ones(len(pdf), dtype=bool), []
+        for i in range(len(pdf)):
+            if not undecided[i]:
+                continue
+            leads.append(i)
+            a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
+            undecided &= 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0))) > km
+            undecided[i] = False
+        yield pdf.iloc[leads]
+
+    flat = places.select("cell", F.col("rank.age").alias("age"), F.col("rank.id").alias("id"), "lng", "lat").repartition(1)
+    done = flat.mapInPandas(run, "cell long, age long, id long, lng double, lat double")
+    return cut(done.select("cell", F.struct("age", "id").alias("rank"), "lng", "lat"))
+
+
+def leaders_of(places: DataFrame, km: float, tail: int = TAIL) -> DataFrame:
+    """Leaders (lng, lat, rank, cell) of the distinct places.
+
+    Rounds run while many places are open; the last ``tail`` are finished in order.
+    """
     grid = SphereGrid(km)
     open_places, rounds = places, []
     while True:
-        heads = cut(open_places.groupBy("cell").agg(F.min("rank").alias("rank"), F.min_by(F.struct("lng", "lat"), "rank").alias("at"))
-                    .select("cell", "rank", "at.lng", "at.lat"))
-        if heads.isEmpty():
+        left = open_places.count()
+        if left <= tail:
+            if left:
+                rounds.append(_finish(open_places, km))
             break
+        # heads are grouped once: the three uses below share one shuffle
+        heads = (open_places.groupBy("cell").agg(F.min("rank").alias("rank"), F.min_by(F.struct("lng", "lat"), "rank").alias("at"))
+                 .select("cell", "rank", "at.lng", "at.lat"))
         ahead = heads.select("cell", F.col("rank").alias("other_rank"))
         watched = heads.select("rank", "lng", "lat", F.col("cell").alias("home"), F.explode(grid.cover(F.col("lng"), F.col("lat"))).alias("cell"))
         blocked = watched.join(ahead, "cell").where(F.col("other_rank") < F.col("rank")).select("home").distinct()
@@ -63,11 +101,11 @@ def leaders_of(places: DataFrame, km: float) -> DataFrame:
     return leaders
 
 
-def cluster_places(s: DataFrame, km: float = 2.0) -> DataFrame:
+def cluster_places(s: DataFrame, km: float = 2.0, tail: int = TAIL) -> DataFrame:
     """Every active place with its sighting count and its leader: lng, lat, n, leader_id."""
     grid = SphereGrid(km)
     places = cut(_places(s, grid))
-    reach = _reach(leaders_of(places, km), grid)
+    reach = _reach(leaders_of(places, km, tail), grid)
     return (
         places.join(reach, "cell").where(_within(km))
         .groupBy("lng", "lat").agg(F.first("n").alias("n"), F.min("lead_rank").alias("lead"))
@@ -83,9 +121,9 @@ def cluster_leaders(s: DataFrame, km: float = 2.0) -> DataFrame:
     )
 
 
-def leader_clusters(s: DataFrame, km: float = 2.0, min_size: int = 2) -> DataFrame:
+def leader_clusters(s: DataFrame, km: float = 2.0, min_size: int = 2, tail: int = TAIL) -> DataFrame:
     """Clusters with at least ``min_size`` sightings: count, centre, radius in km and species."""
-    places = cut(cluster_places(s, km))
+    places = cut(cluster_places(s, km, tail))
     rows = s.where(has_location(F.col("lng"), F.col("lat")) & not_removed(F.col("is_removed")))
     kinds = rows.select("lng", "lat", F.coalesce(F.nullif("predicted_species", F.lit("")), F.lit("Unknown")).alias("species")).distinct()
     species = places.join(kinds, ["lng", "lat"]).groupBy("leader_id").agg(F.sort_array(F.collect_set("species")).alias("species"))

@@ -12,16 +12,21 @@ NARRATIVE = ["where_found", "identification", "treatment", "poisonous"]
 SINGLE = ["family", "origin"]
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """One record per page (page_no, text) that has a header and a species name."""
+def named_pages(pages: DataFrame) -> DataFrame:
+    """Pages (page_no, text) with a header and a species name, and their cleaned text."""
     c = F.col("cleaned")
-    named = (
+    return (
         pages.select("page_no", "text", t.normalize_page(F.col("text")).alias("cleaned"))
         .where(t.has_header(c))
         .withColumn("scientific_name", t.scientific_name(c))
         .where(F.col("scientific_name").isNotNull())
     )
-    return named.select(
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """One record per named page."""
+    c = F.col("cleaned")
+    return named_pages(pages).select(
         "scientific_name",
         t.split_common_names(F.coalesce(t.grab_block(c, "Common names"), t.grab_block(c, "Common name"))).alias("common_names"),
         t.grab_block(c, "Family").alias("family"),
@@ -48,7 +53,7 @@ def first_non_null(records: DataFrame, columns: list[str], by: str = "scientific
 
 
 def merge_species(records: DataFrame) -> DataFrame:
-    """One record per species from its pages, in page order.
+    """One record per species from its pages, in page order. ``records`` is read several times.
 
     Equal texts and equal names of a species fall together before anything is gathered, so many
     copies of a page cost one row; only the distinct parts of the final record meet in one place.

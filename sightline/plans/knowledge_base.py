@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from sightline.operators import advisory as adv
 from sightline.operators import knowledge as k
 from sightline.operators.predicates import normalise_prediction
+from sightline.session import cut
 
 
 def species_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merged records of all pages, and the report of the pages without one."""
-    parsed = k.parse_pages(pages)
+    """Merged records of all pages, and the report of the pages without one.
+
+    Parsing is the costly step and its few columns are read several times, so they are stored once.
+    """
+    parsed = cut(k.parse_pages(pages))
     return k.merge_species(parsed), k.reject_report(pages, parsed)
 
 
@@ -21,9 +25,7 @@ def knowledge_base(pages: DataFrame, target: DataFrame | None = None, source: st
 
     Every parsed page is one entry and the last page of a species wins, as in repeated ingests.
     """
-    parsed = k.parse_pages(pages).select("scientific_name", "page_hint")
-    entries = pages.join(parsed, F.col("page_no") == F.col("page_hint")).select("scientific_name", "text", "page_no")
-    docs = k.species_documents(entries, source)
+    docs = cut(k.species_documents(k.named_pages(pages).select("scientific_name", "text", "page_no"), source))
     base = target if target is not None else docs.drop("page_no").limit(0)
     return k.upsert(base, docs, "scientific_name_lc", "page_no")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline import schemas
+from sightline.functions.text import strip
 
 AUDIT_KEYWORDS = ["kingdom", "phylum", "class", "order", "family", "genus", "taxon", "taxonomy"]
 
@@ -33,7 +34,7 @@ def read_photo_metadata(spark: SparkSession, path: str) -> DataFrame:
     needed = max(names.index(c) for c in picked.values())
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     # read whole lines: a short row is known by its number of separators
-    lines = spark.read.text(path).where(F.size(F.split("value", "\t")) > needed).select(F.split(F.rtrim("value"), "\t").alias("f"))
+    lines = spark.read.text(path).where(F.size(F.split(strip(F.col("value")), "\t")) > needed).select(F.split(strip(F.col("value")), "\t").alias("f"))
     row = lines.select(*[F.try_element_at("f", F.lit(i + 1)).alias(n) for i, n in enumerate(schema.names)])
     return row.select(*[F.col(f"`{c}`").alias(k) for k, c in picked.items()]).where(F.col("license") != F.lit(picked["license"]))
 
@@ -76,14 +77,15 @@ def read_class_names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_texts(spark: SparkSession, glob: str) -> DataFrame:
-    """One row per page file; the page number is the number in the file name."""
-    rows = spark.read.text(glob, wholetext=True)
-    return rows.select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("int").alias("page_no"), F.col("value").alias("text"))
+    """One row per page file; the page number comes from ``page_NNN.txt`` or a ``page_no=`` folder."""
+    rows = spark.read.option("recursiveFileLookup", True).text(glob, wholetext=True)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r".*page_(?:no=)?(\d+)", 1)
+    return rows.select(number.cast("int").alias("page_no"), F.col("value").alias("text"))
 
 
 def read_species_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON array (or lines) of species records."""
-    return spark.read.schema(schemas.SPECIES_RECORD).json(path, multiLine=True)
+    return spark.read.option("recursiveFileLookup", True).schema(schemas.SPECIES_RECORD).json(path, multiLine=True)
 
 
 def read_image_inventory(spark: SparkSession, root: str, bmp: bool = False) -> DataFrame:
