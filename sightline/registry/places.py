@@ -183,11 +183,11 @@ LOOP = f"""WITH RECURSIVE pts AS (SELECT lng, lat, count(*) AS n, min(rk) AS rk,
 , r AS (SELECT lid, max({km_sql('clng','clat','lng','lat')}) AS radius FROM mem JOIN c USING (lid) GROUP BY 1)
 , sp AS (SELECT lid, array_to_string(list_sort(list(DISTINCT {SPECIES})),'|') AS species FROM mem JOIN sightings s USING (lng, lat)
   WHERE {ACTIVE} GROUP BY 1)
-SELECT lid AS leader_id, CAST(n AS BIGINT) AS n, round(clat,8) AS center_lat, round(clng,8) AS center_lng, round(radius,6) AS radius_km, species
+SELECT lid AS leader_id, CAST(n AS BIGINT) AS n, round(clat,10) AS center_lat, round(clng,10) AS center_lng, round(radius,6) AS radius_km, species
 FROM c JOIN r USING (lid) JOIN sp USING (lid)"""))
 def leader_clusters(spark, d):
     c = clusters.leader_clusters(tb.sightings(spark, d)).withColumn("species", joined("species"))
-    return rounded(rounded(c, "center_lat", "center_lng", digits=8), "radius_km")
+    return rounded(rounded(c, "center_lat", "center_lng", digits=10), "radius_km")
 
 
 @query("cluster_top8", S(LOOP + """

@@ -72,7 +72,7 @@ def read_photos(spark: SparkSession, path: str) -> DataFrame:
 def read_class_names(spark: SparkSession, path: str) -> DataFrame:
     """Class list: one name per line, blanks dropped, index by line order."""
     whole = spark.read.text(path, wholetext=True)
-    names = F.filter(F.transform(F.split("value", r"\r?\n"), F.trim), lambda n: n != "")
+    names = F.filter(F.transform(F.split("value", r"\r?\n"), lambda n: F.trim(n)), lambda n: n != "")
     return whole.select(F.posexplode(names).alias("class_index", "class_name"))
 
 
