@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it.
+
+    A column mentioned inside a lambda is otherwise computed again for every element.
+    """
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def distinct_ignore_case(names: Column) -> Column:
     """Keep the first spelling of each name, in order."""
-    lowered = F.transform(names, F.lower)
-    return F.filter(names, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)
+    return bind(names, lambda own: bind(F.transform(own, F.lower), lambda lowered: F.filter(
+        own, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)))
 
 
 def ordered_name_union(first: Column, second: Column) -> Column:
@@ -18,8 +28,8 @@ def ordered_name_union(first: Column, second: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, x: a + x))
+    exps = bind(top, lambda m: F.transform(logits, lambda x: F.exp(x - m)))
+    return bind(exps, lambda e: bind(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def argmax(values: Column) -> Column:

@@ -127,7 +127,7 @@ def leader_clusters(s: DataFrame, km: float = 2.0, min_size: int = 2, tail: int
     rows = s.where(has_location(F.col("lng"), F.col("lat")) & not_removed(F.col("is_removed")))
     kinds = rows.select("lng", "lat", F.coalesce(F.nullif("predicted_species", F.lit("")), F.lit("Unknown")).alias("species")).distinct()
     species = places.join(kinds, ["lng", "lat"]).groupBy("leader_id").agg(F.sort_array(F.collect_set("species")).alias("species"))
-    centres = (
+    centres = cut(
         places.groupBy("leader_id")
         .agg(F.sum("n").alias("n"), (F.sum(F.col("lat") * F.col("n")) / F.sum("n")).alias("center_lat"),
              (F.sum(F.col("lng") * F.col("n")) / F.sum("n")).alias("center_lng"))

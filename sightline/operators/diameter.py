@@ -16,7 +16,8 @@ from sightline.session import cut
 _START_DEPTH = 3
 _STEP = 2
 _LAST_DEPTH = 26
-_DIRECT_PAIRS = 4_000_000
+_DIRECT_PAIRS = 2_000_000
+_PAIRS_PER_POINT = 16
 _SLACK = 1e-6
 
 
@@ -65,7 +66,7 @@ def _pair_up(cells: DataFrame, by: str, reached: DataFrame, parents: DataFrame |
     left = cells.select(by, *[F.col(c).alias(f"{c}_a") for c in names])
     right = cells.select(by, *[F.col(c).alias(f"{c}_b") for c in names])
     if parents is None:
-        pairs = left.join(right, by)  # at most 4**_START_DEPTH cells per group
+        pairs = left.join(right, by)  # at most 4**_START_DEPTH cells per group, however many points
     else:
         shift = _STEP
         up = lambda d, s: d.withColumns({f"pu_{s}": F.shiftright(f"cu_{s}", shift), f"pv_{s}": F.shiftright(f"cv_{s}", shift)})
@@ -88,6 +89,7 @@ def farthest_pair(rows: DataFrame, by: str) -> DataFrame:
     reached = cut(_extreme_span(points, by))
     kept, parents = points.join(reached, by), None
     depth = _START_DEPTH
+    enough = max(_DIRECT_PAIRS, _PAIRS_PER_POINT * points.count())
     while True:
         placed = kept.withColumns({
             "cu": _cell(F.col("lat"), F.col("lat0"), F.col("lat1"), depth),
@@ -95,7 +97,7 @@ def farthest_pair(rows: DataFrame, by: str) -> DataFrame:
         })
         pairs = cut(_pair_up(_cells(placed, by), by, reached, parents))
         work = pairs.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0
-        if work <= _DIRECT_PAIRS or depth >= _LAST_DEPTH:
+        if work <= enough or depth >= _LAST_DEPTH:
             break
         live = pairs.selectExpr(f"`{by}`", "inline(array(struct(cu_a AS cu, cv_a AS cv), struct(cu_b AS cu, cv_b AS cv)))").distinct()
         kept = cut(placed.join(live, [by, "cu", "cv"], "left_semi").drop("cu", "cv"))

@@ -39,9 +39,17 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def reject_report(pages: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Pages without a record: page, reason and a one-line preview."""
-    missed = pages.join(parsed.select(F.col("page_hint").alias("page_no")), "page_no", "left_anti")
+def reject_report(pages: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """Pages without a record: page, reason and a one-line preview.
+
+    Without ``parsed`` the pages are judged where they lie and no text is moved; with it, pages
+    are told apart by their number.
+    """
+    if parsed is None:
+        c = t.normalize_page(F.col("text"))
+        missed = pages.where(~(t.has_header(c) & t.scientific_name(c).isNotNull()))
+    else:
+        missed = pages.join(parsed.select(F.col("page_hint").alias("page_no")), "page_no", "left_anti")
     return missed.select("page_no", F.lit("no_species_or_bad_name").alias("reason"), t.preview(F.col("text")).alias("preview"))
 
 

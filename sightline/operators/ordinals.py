@@ -39,7 +39,8 @@ def row_index(df: DataFrame, by: list[str], order: list[Column], name: str = "id
     placed = dense_position(df, [*[F.col(b) for b in by], *order], "_pos")
     if not by:
         return placed.withColumnRenamed("_pos", name)
-    starts = placed.groupBy(*by).agg(F.min("_pos").alias("_start"))
+    # stored, so that its true size decides whether the rows must be shuffled to meet it
+    starts = cut(placed.groupBy(*by).agg(F.min("_pos").alias("_start")))
     same = [F.col(f"r.{b}").eqNullSafe(F.col(f"s.{b}")) for b in by]
     joined = placed.alias("r").join(starts.alias("s"), same)
     return joined.select("r.*", (F.col("_pos") - F.col("_start")).alias(name)).drop("_pos")

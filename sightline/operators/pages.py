@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.arrays import bind
 from sightline.functions.text import COLBREAK, clean_text, strip
 
 
@@ -19,13 +20,16 @@ def _split_at(centres: Column, width: Column) -> Column:
     """Middle of the widest gap between block centres, kept near the middle of the page."""
     n = F.size(centres)
     first, last = F.floor(n * 0.10).cast("int"), F.floor(n * 0.90).cast("int")
-    xs = F.array_distinct(F.when(n > 10, F.slice(centres, first + 1, last - first)).otherwise(centres))
+    trimmed = F.array_distinct(F.when(n > 10, F.slice(centres, first + 1, last - first)).otherwise(centres))
+    return bind(trimmed, lambda xs: _widest(xs, width))
+
+
+def _widest(xs: Column, width: Column) -> Column:
     gaps = F.zip_with(F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs) - 1), lambda a, b: F.struct(
         (b - a).alias("gap"), ((a + b) / 2).alias("mid")))
     ranked = F.transform(gaps, lambda g, i: F.struct(
         g["gap"].alias("gap"), g["mid"].between(width * 0.33, width * 0.67).alias("central"), (-i).alias("earlier"), g["mid"].alias("mid")))
-    split = F.array_max(ranked)["mid"]
-    clamped = F.greatest(width * 0.30, F.least(width * 0.70, split))
+    clamped = F.greatest(width * 0.30, F.least(width * 0.70, F.array_max(ranked)["mid"]))
     return F.when(F.size(xs) < 2, width * 0.5).otherwise(clamped)
 
 

@@ -110,7 +110,10 @@ def _pairs(cells: DataFrame, parents: DataFrame | None, direct: int) -> DataFram
     left = cells.select(*[F.col(c).alias(f"{c}_a") for c in names])
     right = cells.select(*[F.col(c).alias(f"{c}_b") for c in names])
     if parents is None:
-        pairs = left.join(right, F.lit(True))  # 4**_START_DEPTH cells at most
+        side = (1 << _START_DEPTH) - 1  # every cell lists all cells of the coarse lattice
+        each = F.sequence(F.lit(0).cast("long"), F.lit(side).cast("long"))
+        listed = left.withColumn("cu_b", F.explode(each)).withColumn("cv_b", F.explode(each))
+        pairs = listed.join(right, ["cu_b", "cv_b"])
     else:
         def up(d: DataFrame, s: str) -> DataFrame:
             return d.withColumns({f"pu_{s}": F.shiftright(f"cu_{s}", 1), f"pv_{s}": F.shiftright(f"cv_{s}", 1)})
@@ -123,7 +126,7 @@ def _pairs(cells: DataFrame, parents: DataFrame | None, direct: int) -> DataFram
     narrow = F.greatest("hlat_a", "hlng_a", "hlat_b", "hlng_b") * 2 <= _WIDEST_DEG
     work = F.col("n_a") * F.col("n_b")
     far = (apart >= _FAR * size) & (apart + size <= _LARGEST_ARC) & narrow & (apart > 0)
-    kind = F.when(far & (work > _NODES**4), "far").when(work <= direct, "direct").otherwise("near")
+    kind = F.when(work <= direct, "direct").when(far, "far").otherwise("near")
     return pairs.where(ordered).withColumn("kind", kind).drop("pu_a", "pv_a", "pu_b", "pv_b")
 
 
@@ -184,9 +187,9 @@ def mean_pair_distance(rows: DataFrame, direct: int = _DIRECT) -> DataFrame:
         side = 1 << depth
         return F.least(F.floor((F.col(c) - low) / (high - low) * side), F.lit(side - 1)).cast("long")
 
-    sums, parents, live = [], None, places
+    sums, parents = [], None
     for depth in range(_START_DEPTH, _LAST_DEPTH + 1):
-        points = live.withColumns({"cu": cell("lat", lat0, lat1, depth), "cv": cell("lng", lng0, lng1, depth)})
+        points = places.withColumns({"cu": cell("lat", lat0, lat1, depth), "cv": cell("lng", lng0, lng1, depth)})
         cells = _cells(points)
         pairs = cut(_pairs(cells, parents, direct))
         if depth == _LAST_DEPTH:
@@ -200,8 +203,6 @@ def mean_pair_distance(rows: DataFrame, direct: int = _DIRECT) -> DataFrame:
             break
         near = pairs.where(F.col("kind") == "near")
         parents = near.select(*[F.col(f"c{x}_{s}").alias(f"p{x}_{s}") for s in "ab" for x in "uv"])
-        used = near.selectExpr("inline(array(struct(cu_a AS cu, cv_a AS cv), struct(cu_b AS cu, cv_b AS cv)))").distinct()
-        live = points.join(used, ["cu", "cv"], "left_semi").select("lng", "lat", "w")
     whole = sums[0]
     for part in sums[1:]:
         whole = whole.unionByName(part)

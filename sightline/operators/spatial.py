@@ -12,6 +12,7 @@ from sightline.operators.diameter import farthest_pair
 from sightline.operators.ordinals import following_rows
 from sightline.operators.pair_mean import mean_pair_distance
 from sightline.operators.predicates import has_location, not_removed
+from sightline.session import cut
 
 DISTANCE_BINS = ["0-1km", "1-5km", "5-10km", "10-20km", "20km+"]
 
@@ -41,10 +42,11 @@ def _cells(s: DataFrame, cell: float) -> DataFrame:
 
 def hotspots(s: DataFrame, cell: float = 0.01, min_n: int = 3) -> DataFrame:
     """Cells with at least ``min_n`` active sightings."""
+    # counted per cell and species first: a hot cell travels as one row per species
+    per_species = _cells(located(active(s)), cell).groupBy("cell_lat", "cell_lng", "species").agg(F.count(F.lit(1)).alias("n"))
     return (
-        _cells(located(active(s)), cell)
-        .groupBy("cell_lat", "cell_lng")
-        .agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("species")).alias("species"))
+        per_species.groupBy("cell_lat", "cell_lng")
+        .agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("species")).alias("species"))
         .where(F.col("n") >= min_n)
         .select(
             "cell_lat", "cell_lng", (F.col("cell_lat") * cell).alias("lat"), (F.col("cell_lng") * cell).alias("lng"), "n", "species"
@@ -129,12 +131,13 @@ def species_count_top(s: DataFrame, n: int = 8) -> DataFrame:
 def distance_from_first(s: DataFrame) -> DataFrame:
     """Distance of each active located sighting from the earliest one of its species.
 
-    The earliest place is one aggregated row per species, joined back; no per-species sort.
+    The earliest place is one row per species. It is stored first: its true size then tells the
+    optimizer whether it can be broadcast, and the sightings need not be shuffled.
     """
     rows = located(active(s)).select("sighting_id", "created_at", species_or("Unknown").alias("species"), "lng", "lat")
-    first = rows.groupBy("species").agg(
+    first = cut(rows.groupBy("species").agg(
         F.min_by(F.struct("lng", "lat", "sighting_id"), F.struct("created_at", "sighting_id")).alias("first")
-    )
+    ))
     return rows.join(first, "species").select(
         "sighting_id", "species", (F.col("sighting_id") == F.col("first.sighting_id")).alias("is_first"),
         haversine_km(F.col("first.lng"), F.col("first.lat"), F.col("lng"), F.col("lat")).alias("km"),

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries up to this many values are sent to every task; more are met tile by tile.
-SMALL_VALUES = 4_000_000
+#: Queries up to this many values (2 MB) are sent to every task; more are met tile by tile.
+SMALL_VALUES = 262_144
+QUERY_CHUNK = 256
 QUERY_TILE = 2048
 VECTOR_TILE = 32768
 _OUT = "query_id long, vec_id long, distance double"
@@ -37,6 +38,14 @@ def _best(q_ids: np.ndarray, v_ids: np.ndarray, d: np.ndarray, k: int, limit: fl
     return out if limit is None else out[out["distance"] <= limit]
 
 
+def _search(q_ids, q, v_ids, v, k: int, metric: str, limit: float | None) -> pd.DataFrame:
+    """Best k of one block of vectors, a few queries at a time so that memory stays small."""
+    parts = [
+        _best(q_ids[i:i + QUERY_CHUNK], v_ids, _distances(q[i:i + QUERY_CHUNK], v, metric), k, limit) for i in range(0, len(q), QUERY_CHUNK)
+    ]
+    return pd.concat(parts)
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -68,7 +77,7 @@ def knn(
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             v = np.asarray(batch.column(1).flatten(), dtype="float64").reshape(batch.num_rows, -1)
-            found = _best(q_ids, ids, _distances(q, v, metric), k, max_distance)
+            found = _search(q_ids, q, ids, v, k, metric, max_distance)
             kept = found if kept is None else pd.concat([kept, found])
             kept = kept.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
         if kept is not None:
@@ -97,11 +106,6 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
         a = np.stack(left["embedding"].to_list()).astype("float64")
         b = np.stack(right["embedding"].to_list()).astype("float64")
-        ids = right["vec_id"].to_numpy()
-        parts = [
-            _best(left["query_id"].to_numpy()[i:i + 256], ids, _distances(a[i:i + 256], b, metric), k, max_distance)
-            for i in range(0, len(a), 256)
-        ]
-        return pd.concat(parts)
+        return _search(left["query_id"].to_numpy(), a, right["vec_id"].to_numpy(), b, k, metric, max_distance)
 
     return _top(q.groupBy("tq", "tv").cogroup(v.groupBy("tq", "tv")).applyInPandas(search, _OUT), k)

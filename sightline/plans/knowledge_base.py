@@ -17,7 +17,7 @@ def species_records(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     Parsing is the costly step and its few columns are read several times, so they are stored once.
     """
     parsed = cut(k.parse_pages(pages))
-    return k.merge_species(parsed), k.reject_report(pages, parsed)
+    return k.merge_species(parsed), k.reject_report(pages)
 
 
 def knowledge_base(pages: DataFrame, target: DataFrame | None = None, source: str = "field guide") -> tuple[DataFrame, DataFrame]:

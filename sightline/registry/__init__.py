@@ -1,6 +1,6 @@
 """Named queries, grouped by subject; importing this package registers them all."""
 
-from sightline.registry import curate, dashboard, guide, live, places  # noqa: F401
+from sightline.registry import curate, places, dashboard, guide, live  # noqa: F401, I001
 from sightline.registry.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

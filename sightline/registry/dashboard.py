@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import risk as rk, text as tx, times as tm
 from sightline.operators import alerts, predicates as p, temporal, threat, updates
-from sightline.registry.base import AS_OF_SQL, S, as_of, joined, query, rounded, stamp
+from sightline.registry.base import AS_OF_SQL, ORACLES, S, as_of, joined, query, rounded, stamp
 from sightline.registry.places import ACTIVE, AGE, PLACED, SPECIES, _diameter_sql
 from sightline.sources import tables as tb
 
@@ -518,3 +518,41 @@ def mark_removed(spark, d):
 def removals_not_found(spark, d):
     s = rows(spark, d)
     return updates.removals_not_found(s, _removals(s)).select("sighting_id", "owner")
+
+
+# ---- the five dashboards -------------------------------------------------------------------
+
+PANELS = {
+    ("species", "stats"): "species_stats", ("invasive", "overview"): "pair_overview", ("invasive", "risk"): "invasive_risk",
+    ("invasive", "breakdown"): "risk_breakdown", ("invasive", "unknown"): "unknown_summary", ("geographic", "clusters"): "leader_clusters",
+    ("geographic", "density"): "density_summary", ("geographic", "distances"): "distance_histogram",
+    ("geographic", "counts"): "species_count_top", ("geographic", "ranges"): "species_range_top", ("temporal", "patterns"): "time_patterns",
+    ("temporal", "trends"): "trends", ("temporal", "seasons"): "seasonal_patterns", ("temporal", "daily"): "invasive_daily",
+    ("temporal", "impact"): "environmental_impact", ("temporal", "weekly"): "timeline_weekly", ("temporal", "monthly"): "timeline_monthly",
+    ("temporal", "yearly"): "timeline_yearly", ("risk", "alerts"): "risk_alerts", ("risk", "priorities"): "priorities",
+    ("risk", "recommendations"): "recommendations",
+}
+OWN_PANELS = {
+    ("invasive", "hotspots"): f"SELECT 1 FROM sightings WHERE {ACTIVE} AND {PLACED} AND {NAMED} GROUP BY floor(lat/1e-2+0.5), floor(lng/1e-2+0.5) HAVING count(*) >= 3",
+    ("invasive", "spread"): "SELECT 1", ("geographic", "coverage"): "SELECT 1",
+}
+
+
+def _dashboards_sql() -> str:
+    parts = [f"SELECT '{a}' AS dashboard, '{b}' AS panel, (SELECT count(*) FROM ({ORACLES[name]})) AS n" for (a, b), name in PANELS.items()]
+    parts += [f"SELECT '{a}', '{b}', (SELECT count(*) FROM ({S(text)}))" for (a, b), text in OWN_PANELS.items()]
+    return " UNION ALL ".join(parts)
+
+
+@query("dashboards", _dashboards_sql())
+def dashboards(spark, d):
+    from sightline.plans.dashboards import dashboards as build
+
+    counts = [
+        panel.agg(F.count(F.lit(1)).alias("n")).select(F.lit(board).alias("dashboard"), F.lit(name).alias("panel"), "n")
+        for board, panels in build(rows(spark, d), as_of()).items() for name, panel in panels.items()
+    ]
+    whole = counts[0]
+    for more in counts[1:]:
+        whole = whole.unionByName(more)
+    return whole

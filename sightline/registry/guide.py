@@ -249,7 +249,7 @@ def page_records(spark, d):
 @query("reject_report", P(f"""{RECORDS} SELECT page_no, 'no_species_or_bad_name' AS reason, replace(substr(text,1,220), chr(10), ' ') || CASE WHEN length(text) > 220 THEN '…' ELSE '' END AS preview
 FROM fp WHERE page_no NOT IN (SELECT page_hint FROM rec)"""))
 def reject_report(spark, d):
-    return kn.reject_report(tb.field_pages(spark, d), records(spark, d))
+    return kn.reject_report(tb.field_pages(spark, d))
 
 
 def merged_field(c: str) -> str:

@@ -60,3 +60,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores when its files give fewer splits than there are cores.
+
+    Large inputs have more splits than cores and are not moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -112,6 +112,7 @@ def test_diameter(spark, box, monkeypatch):
     from sightline.operators import diameter
 
     monkeypatch.setattr(diameter, "_DIRECT_PAIRS", 200)  # forces the splitting of cells
+    monkeypatch.setattr(diameter, "_PAIRS_PER_POINT", 1)
     places = scattered(120, BOXES[box], 7) + [(0.0, 0.0)]
     s, rows = make(spark, places)
     got = {r["species"]: r["diameter_km"] for r in farthest_pair(s.select(F.col("predicted_species").alias("species"), "lng", "lat"), "species").collect()}
