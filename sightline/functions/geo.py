@@ -38,18 +38,18 @@ def format_latlng(lng: Column, lat: Column) -> Column:
 
 
 class SphereGrid:
-    """Latitude bands cut into columns so that no cell is wider than ``km`` across.
+    """Latitude bands cut into columns, cells of at most ``side_km`` each way.
 
-    Two points in one cell are therefore at most ``km`` apart, anywhere on the sphere. ``cover``
-    lists the cells that a circle of ``km`` around a point can touch, with the antimeridian
-    wrapped and polar circles widened to whole bands; the list has a fixed small bound.
+    By default the side is such that two points in one cell are at most ``km`` apart, anywhere on
+    the sphere. ``cover`` lists the cells that a circle of ``km`` around a point can touch, with
+    the antimeridian wrapped and polar circles widened to whole bands; the list has a fixed bound.
     """
 
-    def __init__(self, km: float):
+    def __init__(self, km: float, side_km: float | None = None):
         if not km > 0:
             raise ValueError("km must be positive")
         self.km = float(km)
-        self.side_km = km / math.sqrt(2.0) * 0.999
+        self.side_km = float(side_km) if side_km else km / math.sqrt(2.0) * 0.999
         self.band_deg = self.side_km / KM_PER_DEGREE
         self.last_band = int(math.floor(180.0 / self.band_deg))
 

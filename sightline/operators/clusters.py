@@ -1,27 +1,31 @@
 """Greedy distance clusters in newest-first order, computed in parallel rounds.
 
 The order decides: a place leads a cluster when no earlier leader lies within ``km``; every other
-place belongs to the earliest leader within reach. A round lets every place lead that is earlier
-than anything still open in the cells its circle touches, and closes what the new leaders reach.
-Cells are so small that two leaders never share one, so a round moves one row per cell, and no
-pair of ordinary places is ever formed. The result does not depend on the partitioning.
+place belongs to the earliest leader within reach. In a round each tile of the map looks at its
+earliest open places, with the border places of its neighbours, and settles those whose earlier
+neighbours are all settled; then everything the new leaders reach is closed. A tile never sees
+more than ``PER_TILE`` places, cut before the shuffle, so a crowded tile is no larger than the
+rest. A track that crosses the map takes a round per tile, not per place. No pair of ordinary
+places is ever formed, and the result does not depend on the partitioning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.geo import EARTH_RADIUS_KM, SphereGrid, haversine_km
+from sightline.operators.curation import first_per_group
 from sightline.operators.predicates import has_location, not_removed
 from sightline.session import cut
 
-#: Places that one task may finish; above it the work is done in rounds over all tasks.
+#: Places that may form one tile at the end; above it the work is done in rounds over all tasks.
 TAIL = 10_000
+#: Places a tile looks at in one round, and the side of a tile in cluster radii.
+PER_TILE = 4_000
+TILE_SIDE = 32
 
 
 def _rank():
@@ -48,50 +52,50 @@ def _within(km: float):
     return haversine_km(F.col("lead_lng"), F.col("lead_lat"), F.col("lng"), F.col("lat")) <= km
 
 
-def _finish(places: DataFrame, km: float) -> DataFrame:
-    """Leaders among the few places that are still open, in one task of at most ``TAIL`` rows."""
+def _settled_leaders(listed: DataFrame, km: float) -> DataFrame:
+    """New leaders among the listed places (tile, own, cell, age, id, lng, lat) of each tile.
+
+    In order: a place near a new leader is closed. A place with an earlier open neighbour stays
+    open, and so does a neighbour tile's place, whose own surroundings are not all here. The rest lead.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(batches)
-        if not parts:
-            return
-        pdf = pd.concat(parts).sort_values(["age", "id"], ignore_index=True)
-        lat, lng = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy())
-        undecided, leads = np.ones(len(pdf), dtype=bool), []
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["age", "id"], ignore_index=True)
+        lat, lng, own = np.radians(pdf["lat"].to_numpy()), np.radians(pdf["lng"].to_numpy()), pdf["own"].to_numpy()
+        closed, waits, leads = np.zeros(len(pdf), dtype=bool), np.zeros(len(pdf), dtype=bool), []
         for i in range(len(pdf)):
-            if not undecided[i]:
+            if closed[i]:
                 continue
-            leads.append(i)
             a = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lng - lng[i]) / 2) ** 2
-            undecided &= 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0))) > km
-            undecided[i] = False
-        yield pdf.iloc[leads]
-
-    flat = places.select("cell", F.col("rank.age").alias("age"), F.col("rank.id").alias("id"), "lng", "lat").repartition(1)
-    done = flat.mapInPandas(run, "cell long, age long, id long, lng double, lat double")
+            near = 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(a), np.sqrt(np.maximum(1 - a, 0))) <= km
+            if own[i] and not waits[i]:
+                leads.append(i)
+                closed |= near
+            else:
+                waits |= near
+        return pdf.loc[leads, ["cell", "age", "id", "lng", "lat"]]
+
+    done = listed.groupBy("tile").applyInPandas(run, "cell long, age long, id long, lng double, lat double")
     return cut(done.select("cell", F.struct("age", "id").alias("rank"), "lng", "lat"))
 
 
-def leaders_of(places: DataFrame, km: float, tail: int = TAIL) -> DataFrame:
+def leaders_of(places: DataFrame, km: float, tail: int = TAIL, per_tile: int = PER_TILE) -> DataFrame:
     """Leaders (lng, lat, rank, cell) of the distinct places.
 
-    Rounds run while many places are open; the last ``tail`` are finished in order.
+    Rounds run while many places are open; the last ``tail`` form a single tile.
     """
-    grid = SphereGrid(km)
+    grid, tiles = SphereGrid(km), SphereGrid(km, side_km=TILE_SIDE * km)
+    columns = ["cell", F.col("rank.age").alias("age"), F.col("rank.id").alias("id"), "lng", "lat"]
     open_places, rounds = places, []
-    while True:
-        left = open_places.count()
+    while left := open_places.count():
         if left <= tail:
-            if left:
-                rounds.append(_finish(open_places, km))
+            rounds.append(_settled_leaders(open_places.select(F.lit(0).alias("tile"), F.lit(True).alias("own"), *columns), km))
             break
-        # heads are grouped once: the three uses below share one shuffle
-        heads = (open_places.groupBy("cell").agg(F.min("rank").alias("rank"), F.min_by(F.struct("lng", "lat"), "rank").alias("at"))
-                 .select("cell", "rank", "at.lng", "at.lat"))
-        ahead = heads.select("cell", F.col("rank").alias("other_rank"))
-        watched = heads.select("rank", "lng", "lat", F.col("cell").alias("home"), F.explode(grid.cover(F.col("lng"), F.col("lat"))).alias("cell"))
-        blocked = watched.join(ahead, "cell").where(F.col("other_rank") < F.col("rank")).select("home").distinct()
-        new = cut(heads.join(blocked, heads["cell"] == blocked["home"], "left_anti").select("cell", "rank", "lng", "lat"))
+        at = F.col("lng"), F.col("lat")
+        listed = open_places.select(F.explode(tiles.cover(*at)).alias("tile"), tiles.cell(*at).alias("home"), *columns)
+        # a constant limit on the row number is applied in every task before the shuffle
+        earliest = first_per_group(listed, "tile", [F.col("age"), F.col("id")], per_tile)
+        new = _settled_leaders(earliest.select("tile", (F.col("tile") == F.col("home")).alias("own"), "cell", "age", "id", "lng", "lat"), km)
         rounds.append(new)
         reach = _reach(new, grid).withColumnRenamed("cell", "lead_cell")
         open_places = cut(open_places.join(reach, (F.col("cell") == F.col("lead_cell")) & _within(km), "left_anti"))

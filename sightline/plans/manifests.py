@@ -47,8 +47,17 @@ def training_table(inv: DataFrame, augment_count: int = 10, val: float = 0.2, se
         text = F.concat_ws("|", F.lit(str(seed)), *parts)
         return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
-    rows = c.class_index(inv.select("path", "class_name")).withColumn("aug", F.explode(F.sequence(F.lit(0), F.lit(augment_count - 1))))
+    def side(unit: Column) -> Column:
+        return F.when(unit < val, "val").otherwise("train")
+
+    if by not in ("image", "row"):
+        raise ValueError("by is 'image' or 'row'")
+    images = c.class_index(inv.select("path", "class_name"))
+    if by == "image":  # one hash per image, before the versions multiply
+        images = images.withColumn("split", side(share(F.lit("s"), F.col("path"))))
+    rows = images.withColumn("aug", F.explode(F.sequence(F.lit(0), F.lit(augment_count - 1))))
     aug = F.col("aug").cast("string")
+    if by == "row":
+        rows = rows.withColumn("split", side(share(F.lit("s"), F.col("path"), aug)))
     method = F.when((F.col("aug") == 0) | (share(F.lit("m"), F.col("path"), aug) < 0.6), "realistic").otherwise("seasonal")
-    unit = share(F.lit("s"), F.col("path")) if by == "image" else share(F.lit("s"), F.col("path"), aug)
-    return rows.select("path", "class_name", "label", "aug", method.alias("method"), F.when(unit < val, "val").otherwise("train").alias("split"))
+    return rows.select("path", "class_name", "label", "aug", method.alias("method"), "split")

@@ -74,6 +74,26 @@ def test_clusters_match_the_loop(spark, box, tail):
     assert got == want
 
 
+def test_a_track_needs_few_rounds(spark, monkeypatch):
+    """Places along a line, newest first from one end: the order is one long chain."""
+    track = [(28.0 + i * 0.012, -26.0) for i in range(120)]
+    rows = [(i, 1, lng, lat, "A", 2_000_000_000 - i, False) for i, (lng, lat) in enumerate(track)]
+    s = spark.createDataFrame(rows, COLUMNS.replace("created_at timestamp", "created_at long")).withColumn("created_at", F.timestamp_seconds("created_at"))
+    calls = []
+    settle = clusters._settled_leaders
+    monkeypatch.setattr(clusters, "_settled_leaders", lambda *a: calls.append(1) or settle(*a))
+    got = {r["leader_id"]: r["n"] for r in clusters.leader_clusters(s, tail=0).collect()}
+    assert got == {lead: len(m) for lead, m in greedy(rows).items() if len(m) >= 2}
+    assert len(calls) <= 8
+
+
+def test_crowded_tile_is_settled_in_parts(spark):
+    s, rows = make(spark, scattered(200, BOXES["city"], 13))
+    places = clusters._places(s, SphereGrid(2.0))
+    leaders = {r["rank"]["id"] for r in clusters.leaders_of(places, 2.0, tail=0, per_tile=40).collect()}
+    assert leaders == set(greedy(rows))
+
+
 def test_cluster_facts(spark):
     s, _ = make(spark, [(28.0, -26.0), (28.0, -26.0), (28.01, -26.0), (29.0, -26.0)])
     c = clusters.leader_clusters(s).collect()
