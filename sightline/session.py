@@ -35,14 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
         return named
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="sightline-")
-    sc.setCheckpointDir(made)
-    return sc.getCheckpointDir() or made
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sightline-"))  # remembered by the session
+    return sc.getCheckpointDir()
 
 
 def new_path(spark: SparkSession, label: str) -> str:

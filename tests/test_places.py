@@ -149,11 +149,11 @@ def test_diameter_of_one_place(spark):
 
 @pytest.mark.parametrize("box", BOXES)
 def test_mean_pair_distance(spark, box):
-    places = scattered(400, BOXES[box], 11)
-    places += places[:60]
+    places = scattered(250, BOXES[box], 11)
+    places += places[:40]
     df = spark.createDataFrame([tuple(map(float, p)) for p in places], "lng double, lat double")
     want = np.mean([km(a, b) for i, a in enumerate(places) for b in places[i + 1:]])
-    r = mean_pair_distance(df, direct=16).first()
+    r = mean_pair_distance(df, direct=64).first()
     assert r["pairs"] == len(places) * (len(places) - 1) // 2
     assert r["avg_km"] == pytest.approx(want, rel=1e-9)
 
