@@ -33,24 +33,25 @@ def risk_class(risk: Column) -> Column:
     return F.concat(F.lit("risk-"), risk_band(risk))
 
 
-def _level(risk: Column) -> Column:
+def level_of(risk: Column) -> Column:
+    """Lower-case risk, Medium when there is none."""
     return F.lower(F.coalesce(F.nullif(risk, F.lit("")), F.lit("Medium")))
 
 
 def threat_urgency(risk: Column, confidence: Column) -> Column:
     sure = F.coalesce(F.nullif(confidence, F.lit(0.0)), F.lit(0.5)) > 0.8
     return (
-        F.when(_level(risk).contains("high"), "Immediate inspection required - High threat species")
-        .when(_level(risk).contains("medium") & sure, "Monitor closely - Confirmed invasive")
-        .when(_level(risk).contains("medium"), "Verify identification - Possible invasive")
+        F.when(level_of(risk).contains("high"), "Immediate inspection required - High threat species")
+        .when(level_of(risk).contains("medium") & sure, "Monitor closely - Confirmed invasive")
+        .when(level_of(risk).contains("medium"), "Verify identification - Possible invasive")
         .otherwise("Routine monitoring - Low immediate threat")
     )
 
 
 def threat_color(risk: Column) -> Column:
     return (
-        F.when(_level(risk).contains("high"), COLOR_HIGH)
-        .when(_level(risk).contains("medium"), COLOR_MEDIUM)
+        F.when(level_of(risk).contains("high"), COLOR_HIGH)
+        .when(level_of(risk).contains("medium"), COLOR_MEDIUM)
         .otherwise(COLOR_LOW)
     )
 

@@ -110,9 +110,6 @@ def species_fallback(df: DataFrame, kb: DataFrame, taxonomy: DataFrame | None =
     }).drop("_species", "_genus", "k1", "k2", "k3", "k4", "exact_name", "genus_name", "family_name", "own_family")
 
 
-KNOWLEDGE_COLUMNS = ["fields"]
-
-
 def kb_facts(kb: DataFrame, source: str = "field guide") -> DataFrame:
     """Per species: legal category, status and the cleaned texts of the advice."""
     def field(name: str) -> Column:

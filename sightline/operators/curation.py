@@ -23,7 +23,7 @@ QUALITY = "medium"
 RETRY_STATUS = (500, 502, 503, 504)
 
 
-def _photo_url(host: str, photo_id: Column, quality: str) -> Column:
+def photo_url(host: str, photo_id: Column, quality: str) -> Column:
     return F.concat(F.lit(host), photo_id.cast("string"), F.lit(f"/{quality}.jpg"))
 
 
@@ -46,11 +46,11 @@ def with_photo_id(obs: DataFrame) -> DataFrame:
 
 def download_url(url: Column, photo_id: Column, quality: str = QUALITY) -> Column:
     """The address itself when it names an image file, else the open-data address."""
-    return F.when(F.lower(url).rlike(r"\.(jpg|jpeg|png)\z"), url).otherwise(_photo_url(OPEN_DATA, photo_id, quality))
+    return F.when(F.lower(url).rlike(r"\.(jpg|jpeg|png)\z"), url).otherwise(photo_url(OPEN_DATA, photo_id, quality))
 
 
 def candidate_urls(url: Column, photo_id: Column, quality: str = QUALITY) -> Column:
-    return F.array_distinct(F.array(url, _photo_url(OPEN_DATA, photo_id, quality), _photo_url(STATIC, photo_id, quality)))
+    return F.array_distinct(F.array(url, photo_url(OPEN_DATA, photo_id, quality), photo_url(STATIC, photo_id, quality)))
 
 
 # ---- joins ---------------------------------------------------------------------------------
@@ -130,7 +130,7 @@ def photos_per_observation(df: DataFrame, max_obs: int = 20, max_photos: int = 2
     kept = first_per_group(df.join(picked, "observation_id", "left_semi"), "observation_id", [F.col("photo_id")], max_photos)
     folder = F.concat(F.lit("observation_"), F.col("observation_id").cast("string"))
     return kept.select(
-        _photo_url(OPEN_DATA, F.col("photo_id"), quality).alias("url"),
+        photo_url(OPEN_DATA, F.col("photo_id"), quality).alias("url"),
         F.concat(folder, F.lit("/"), F.col("photo_id").cast("string"), F.lit(".jpg")).alias("path"), "photo_id", "observation_id",
     )
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.risk import _level
+from sightline.functions.geo import round_half_up
+from sightline.functions.risk import level_of
+from sightline.functions.text import to_fixed
 from sightline.functions.times import (
     SEASONS, day_key, days_between, month_key, period_key, season, seasonal_factor, since_days, week_key, year_key,
 )
@@ -110,7 +112,7 @@ def _by_period(rows: DataFrame, period: str, extra: dict[str, Column] | None = N
 
     Species are counted per period first, so only one row per species and period is gathered.
     """
-    risk = _level(F.col("risk_level"))
+    risk = level_of(F.col("risk_level"))
     sums = {
         "n": F.count(F.lit(1)),
         "high": F.count_if(risk.contains("high")),
@@ -163,9 +165,6 @@ def timeline_monthly(s: DataFrame, n: int = 4) -> DataFrame:
 
 def timeline_yearly(s: DataFrame, n: int = 3) -> DataFrame:
     """Latest years: count, species and what the removals restored."""
-    from sightline.functions.geo import round_half_up
-    from sightline.functions.text import to_fixed
-
     gone = F.col("removed")
     text = F.concat(
         F.lit("Ecosystem recovery: "), to_fixed(gone / F.col("n") * 100, 1), F.lit("% invasive removal restored "),

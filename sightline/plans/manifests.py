@@ -33,7 +33,7 @@ def build_manifest_taxa(
     named = c.join_photo_species(photos, c.join_obs_taxa(obs_taxa, taxa))
     sampled = c.photos_per_species(named, min_n, max_n, seed)
     tasks = _paths(sampled).select(
-        c._photo_url(c.OPEN_DATA, F.col("photo_id"), c.QUALITY).alias("url"), "path", "photo_id", "observation_id", "species"
+        c.photo_url(c.OPEN_DATA, F.col("photo_id"), c.QUALITY).alias("url"), "path", "photo_id", "observation_id", "species"
     )
     return c.manifest_pending(tasks, inventory)
 

@@ -4,12 +4,13 @@ import re
 
 from pyspark.sql import functions as F
 
-from sightline.functions import arrays as ar, text as tx
+from sightline.functions import arrays as ar
 from sightline.operators import curation as c, scoring, vectors
 from sightline.operators.predicates import filter_cc0
 from sightline.plans import manifests
-from sightline.registry.base import joined, over, query, rounded
-from sightline.sources import readers, tables as tb
+from sightline.registry.base import over, query, rounded
+from sightline.session import new_path
+from sightline.sources import readers, tables as tb, writers
 
 OBS = over(obs=tb.OBSERVATIONS)
 TAX = over(photos=tb.PHOTOS, obs_taxa=tb.OBS_TAXA, taxa=tb.TAXA)
@@ -370,18 +371,13 @@ def knn_topk(spark, d):
 
 @query("sink_parquet", TAX(f"{TAXED} SELECT observation_id % 10 AS k, count(*) AS n FROM cc GROUP BY 1"))
 def sink_parquet(spark, d):
-    from sightline.session import new_path
-    from sightline.sources.writers import write_photos
-
     path = new_path(spark, "photos")
-    write_photos(c.licensed_photos(tb.photos(spark, d)), path)
+    writers.write_photos(c.licensed_photos(tb.photos(spark, d)), path)
     return readers.read_photos(spark, path).groupBy((F.col("observation_id") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src_photo_tsv", TAX("SELECT license, count(*) AS n FROM photos GROUP BY 1"))
 def src_photo_tsv(spark, d):
-    from sightline.session import new_path
-
     path = new_path(spark, "photo-tsv")
     raw = tb.photos(spark, d).select("photo_id", F.col("observation_id").alias("observation_uuid_id"), F.col("license").alias("License_code"))
     raw.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
@@ -390,8 +386,6 @@ def src_photo_tsv(spark, d):
 
 @query("src_observations", OBS("SELECT id, image_url, scientific_name FROM obs WHERE id IS NOT NULL AND image_url IS NOT NULL"))
 def src_observations(spark, d):
-    from sightline.session import new_path
-
     path = new_path(spark, "observations")
     tb.observations(spark, d).write.option("header", True).csv(path)
     return readers.read_observations(spark, path).select("id", "image_url", "scientific_name")
@@ -399,8 +393,6 @@ def src_observations(spark, d):
 
 @query("src_taxa", TAX("SELECT t.name, count(*) AS n FROM obs_taxa o JOIN taxa t USING (taxon_id) GROUP BY 1"))
 def src_taxa(spark, d):
-    from sightline.session import new_path
-
     a, b = new_path(spark, "taxa"), new_path(spark, "obs-taxa")
     tb.taxa(spark, d).write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(a)
     tb.obs_taxa(spark, d).write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(b)

@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from sightline.functions import arrays as ar, text as tx
 from sightline.operators import advisory as adv, knowledge as kn, pages as pg
-from sightline.operators.predicates import NOT_EPITHETS, NOT_SPECIES_PHRASES, looks_like_binomial, looks_like_species
+from sightline.operators.predicates import (
+    NOT_EPITHETS, NOT_SPECIES_PHRASES, looks_like_binomial, looks_like_species, normalise_prediction,
+)
 from sightline.plans import knowledge_base as kb_plan
 from sightline.registry.base import S, joined, over, query, rounded
-from sightline.session import cut
+from sightline.session import cut, new_path
 from sightline.sources import readers, tables as tb, writers
 
 P = over(fp=tb.FIELD_PAGES)
@@ -283,8 +285,6 @@ def first_non_null(spark, d):
 
 @query("sink_species_json", P(f"{MERGED} SELECT scientific_name, family, origin, CAST(page_hint AS INTEGER) AS page_hint FROM k"))
 def sink_species_json(spark, d):
-    from sightline.session import new_path
-
     path = new_path(spark, "species-json")
     writers.write_species_json(kn.merge_species(records(spark, d)), path)
     return spark.read.schema(readers.schemas.SPECIES_RECORD).json(path).select("scientific_name", "family", "origin", "page_hint")
@@ -403,8 +403,6 @@ def kb(spark):
 
 
 def varied(spark, d):
-    from sightline.operators.predicates import normalise_prediction
-
     s = normalise_prediction(tb.sightings(spark, d).select("sighting_id", "predicted_species", "confidence"))
     m = F.col("sighting_id") % 9
     name = (F.when(m == 1, " Gamma SHRUB ").when(m == 2, "Acacia melanoxylon").when(m == 3, "Rosa alba").when(m == 4, "Zzz absent")
@@ -508,8 +506,6 @@ def advisory_sections(spark, d):
 @query("basic_analysis", K(f"""{LOOK}
 SELECT sighting_id, sp || ' (' || printf('%.1f', floor(conf*100*10+0.5)/10) || '% confidence)' AS summary, CASE WHEN conf > 0.8 THEN 'Medium' WHEN conf > 0.6 THEN 'Low' ELSE 'Unknown' END AS risk FROM cs"""))
 def basic_analysis(spark, d):
-    from sightline.operators.predicates import normalise_prediction
-
     b = adv.basic_analysis(normalise_prediction(tb.sightings(spark, d)))
     return b.select("sighting_id", F.col("basic.summary").alias("summary"), F.col("basic.risk_level").alias("risk"))
 

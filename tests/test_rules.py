@@ -128,6 +128,15 @@ def test_confidence_edges(spark, conf, level, action):
     assert a["advisory_content"]["legal_status"]["legal_requirements"] == "Category 1a species - Immediate removal required"
 
 
+def test_advice_has_the_canonical_shape(spark):
+    from sightline.schemas import ADVISORY_CONTENT
+
+    s = spark.createDataFrame([("Acacia_mearnsii", 0.9)], "predicted_species string, confidence double")
+    content = adv.sighting_advisory(s, kb(spark)).schema["advisory"].dataType["advisory_content"].dataType
+    shape = lambda t: [(f.name, shape(f.dataType) if hasattr(f.dataType, "fields") else f.dataType) for f in t.fields]
+    assert shape(content) == shape(ADVISORY_CONTENT)
+
+
 def test_unknown_species_advice(spark):
     s = spark.createDataFrame([("Zzz", 0.9)], "predicted_species string, confidence double")
     a = adv.sighting_advisory(s, kb(spark)).first()["advisory"]

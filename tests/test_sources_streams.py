@@ -5,8 +5,6 @@ import gzip
 import json
 
 import pytest
-from pyspark.sql import functions as F
-
 from sightline.operators import pages as pg
 from sightline.session import new_path
 from sightline.sources import readers, tables as tb
