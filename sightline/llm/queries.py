@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import mixing, ownership, packing, pigeonring, site_quality
+from sightline.llm import arrow_stream, mixing, ownership, packing, pigeonring, site_quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,63 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(ownership.listed(F.col("base")), 256).alias("base_sha256"),
         ownership.listed(F.col("spans")).alias("spans"),
     )
+
+
+def _warc_sql() -> str:
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def replaced(html: str) -> str:
+        for pattern, to in warc.TEXT_STEPS:
+            html = f"regexp_replace({html}, {text(pattern)}, {text(to)}, 'g')"
+        for name, to in warc.ENTITIES:
+            html = f"replace({html}, {text(name)}, {text(to)})"
+        for pattern, to in warc.SPACE_STEPS:
+            html = f"regexp_replace({html}, {text(pattern)}, {text(to)}, 'g')"
+        return f"trim({html}, ' \n')"
+
+    def digest(x: str) -> str:
+        groups = " || ".join(f"to_base(('0x' || substr(sha1({x}), {1 + 5 * i}, 5))::BIGINT, 32, 4)" for i in range(8))
+        return f"'sha1:' || translate({groups}, '{warc.BASE32_FROM}', '{warc.BASE32_TO}')"
+
+    def named(x: str) -> str:
+        h = f"md5({x})"
+        return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-' || {h}[13:16] || '-' || {h}[17:20] || '-' || {h}[21:32] || '>'"
+
+    fields = f"""concat_ws(E'\\r\\n', 'http-status: HTTP/1.1 200 OK', 'http-header: Content-Type: text/html; charset=utf-8',
+      'http-header: Content-Length: ' || strlen(body), 'source-payload-digest: ' || source_digest, 'conversion: ' || conversion_id,
+      'title: ' || trim(regexp_replace(regexp_extract(body, {text(warc.TITLE)}, 1), '[\\x20\\t\\r\\n]+', ' ', 'g')),
+      CASE WHEN len(links) > 0 THEN array_to_string(list_transform(links, lambda u: 'outlink: ' || u), E'\\r\\n') ELSE '' END) || E'\\r\\n'"""
+    head = """concat_ws(E'\\r\\n', 'WARC/1.1', 'WARC-Type: ' || warc_type, 'WARC-Record-ID: ' || record_id, 'WARC-Date: 2024-01-01T00:00:00Z',
+      'WARC-Target-URI: ' || target_uri, 'WARC-Refers-To: ' || refers_to, 'WARC-Block-Digest: ' || block_digest, 'X-Source-Payload-Digest: ' || source_digest,
+      'Content-Type: ' || CASE warc_type WHEN 'metadata' THEN 'application/warc-fields' ELSE 'text/plain; charset=utf-8' END, 'Content-Length: ' || content_length)"""
+    return f"""
+WITH source AS MATERIALIZED (
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS body, {named("concat_ws(' ', 'response', page_id::VARCHAR, url)")} AS refers_to, {digest("coalesce(html, '')")} AS source_digest
+  FROM pages),
+named AS MATERIALIZED (
+  SELECT *, {named("'metadata ' || refers_to")} AS metadata_id, {named("'conversion ' || refers_to")} AS conversion_id,
+    (WITH u AS (SELECT unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT regexp_extract_all(body, {text(warc.LINK)}, 1) AS l))
+     SELECT coalesce(list(x ORDER BY i), []) FROM (SELECT x, min(i) AS i FROM u GROUP BY x)) AS links
+  FROM source),
+blocks AS (
+  SELECT page_id, target_uri, refers_to, source_digest, 'metadata' AS warc_type, metadata_id AS record_id, {fields} AS block FROM named
+  UNION ALL
+  SELECT page_id, target_uri, refers_to, source_digest, 'conversion', conversion_id, {replaced("body")} FROM named),
+records AS (SELECT *, {digest("block")} AS block_digest, strlen(block)::BIGINT AS content_length FROM blocks)
+SELECT page_id, warc_type, record_id, refers_to, target_uri, source_digest, block_digest, content_length,
+       sha256({head} || E'\\r\\n\\r\\n' || block) AS record_sha256
+FROM records"""
+
+
+@query("op1_warc_derivatives", _warc_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(read(spark, sf_dir, "pages")), "page_id")
+    return made.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "content_length", F.sha2("record", 256).alias("record_sha256")
+    )
+
+
+@query("op7_arrow_stream_tokens")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arrow_stream.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
