@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import arrow_stream, mixing, ownership, packing, pigeonring, site_quality, warc
+from sightline.llm import arrow_stream, audio, mixing, ownership, packing, pigeonring, site_quality, suffix_blocks, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,3 +178,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_arrow_stream_tokens")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_stream.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_suffix_blocks")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_blocks.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op3_audio_features")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio.features(audio.store(read(spark, sf_dir, "documents"), "doc_id"))
+    spans = F.transform("segments", lambda s: F.concat_ws("-", F.round(s["start_s"], 3).cast("string"), F.round(s["end_s"], 3).cast("string")))
+    feature = F.concat_ws(":", F.col("frames").cast("string"), F.size("segments").cast("string"), F.sha2(F.array_join(spans, ","), 256), F.sha2("tensors", 256))
+    return found.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "seconds", F.size("segments").alias("n_segments"),
+    )
