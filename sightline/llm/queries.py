@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import arrow_stream, audio, mixing, ownership, packing, pigeonring, site_quality, suffix_blocks, warc
+from sightline.llm import arrow_stream, audio, block_max, mixing, ownership, packing, pigeonring, site_quality, suffix_blocks, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "seconds", F.size("segments").alias("n_segments"),
     )
+
+
+BM25_SQL = r"""
+WITH tokens AS MATERIALIZED (
+  SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL),
+lengths AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) AS len FROM documents),
+mean AS (SELECT avg(len) AS mean, count(*) AS docs FROM lengths),
+impacts AS MATERIALIZED (
+  SELECT doc_id, term, n * 2.2e0 / (n + 1.2e0 * (0.25e0 + 0.75e0 * len / mean)) AS impact FROM tokens JOIN lengths USING (doc_id), mean),
+idf AS (SELECT term, ln(1e0 + (docs - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM tokens, mean GROUP BY term, docs),
+scores AS (
+  SELECT q.doc_id AS query_id, i.doc_id, round(sum(q.n * idf * impact), 6) AS score
+  FROM tokens q JOIN idf USING (term) JOIN impacts i USING (term) WHERE q.doc_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores QUALIFY rank <= 10"""
+
+
+@query("op4_block_max_search", BM25_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return block_max.search(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
