@@ -96,7 +96,7 @@ def repeats(sized: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     return (
         rows.join(totals, ["source_key", "slice"])
         .withColumn("before", before)
-        .withColumn("copies", F.col("whole") + F.when(2 * F.col("before") + F.col("size") <= 2 * F.col("missing"), 1).otherwise(0))
+        .withColumn("copies", F.col("whole") + F.when((F.col("missing") > 0) & (2 * F.col("before") + F.col("size") <= 2 * F.col("missing")), 1).otherwise(0))
         .drop("draw", "slice", "before", "whole", "missing")
     )
 
