@@ -148,8 +148,8 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
 
     ``found`` comes from ``scan``. The verdicts of a text depend on the text alone, so they are joined by its hash.
     """
-    live = found.where(F.exists("spans", lambda s: s["kind"] == "live")).groupBy(F.col("text_hash").alias("_hash")).agg(F.first("spans").alias("_spans"))
-    clean = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("_spans"), mark))
-    joined = docs.withColumn("_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).join(live, "_hash", "left").withColumn("_clean", clean)
-    columns = {"text": F.col("_clean"), "n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast("long"))}
-    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    live = found.where(F.exists("spans", lambda s: s["kind"] == "live")).groupBy(F.col("text_hash").alias("__text_hash")).agg(F.first("spans").alias("__live"))
+    held = docs.withColumn("__text_hash", F.sha2(F.coalesce("text", F.lit("")), 256)).join(live, "__text_hash", "left")
+    clean = held.withColumn("__clean", F.when(F.col("__live").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__live"), mark)))
+    columns = {"text": F.col("__clean"), "n_chars": F.when(F.col("__live").isNull(), F.col("n_chars")).otherwise(F.length("__clean").cast("long"))}
+    return clean.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])

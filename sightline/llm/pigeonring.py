@@ -83,7 +83,7 @@ def _close(i: Column, a: Column, b: Column) -> Column:
 
 
 def _visits(prints: DataFrame, masks: list[int]) -> DataFrame:
-    return prints.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).select("fp", F.col("fp").bitwiseXOR("mask").alias("at"))
+    return prints.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("at"))
 
 
 def links_through_values(prints: DataFrame) -> DataFrame:
