@@ -13,21 +13,22 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
 #: Fixed value: how byte-level BPE tokenizers of this family cut a text into pre-tokens.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_MARKS = frozenset(".,;:!?|")
 _RARE_SPACE = re.compile(r"[^\S \n]")
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
-def words_of(text: str) -> list[str]:
-    """The text cut at single spaces between two other characters; the spaces are left out."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE_SPACE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+def cuts_anywhere(text: str) -> bool:
+    """Whether every space stands between two characters that are no white space."""
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE_SPACE.search(text))
 
 
 def byte_letters() -> dict[int, int]:
@@ -37,6 +38,16 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def pre_tokens(word: str) -> list[str]:
+    """The pre-tokens of a word; letters with a mark after them, which most words are, need no pattern."""
+    body = word[1:] if word[:1] == " " else word
+    if body.isalpha():
+        return [word]
+    if body[-1:] in _MARKS and body[:-1].isalpha():
+        return [word[:-1], word[-1]]
+    return PRE_TOKENS.findall(word)
+
+
 def _nones(x: list):
     at = -1
     while True:
@@ -50,7 +61,7 @@ def _nones(x: list):
 class Encoder:
     """Ids of texts as arrays of ``dtype``; the memo keeps the first ``memo_words`` words it meets."""
 
-    def __init__(self, path: str, memo_words: int = 1_200_000):
+    def __init__(self, path: str, memo_words: int = 1_600_000):
         self.whole = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo_words = memo_words
@@ -72,7 +83,7 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of words that stand alone or after a cut, through their distinct pre-tokens."""
-        cut = [PRE_TOKENS.findall(w) for w in words]
+        cut = [pre_tokens(w) for w in words]
         found = set(chain.from_iterable(cut))
         lines = [p for p in found if "\n" in p]
         ids = dict(zip(lines, self._plain(lines), strict=True))
@@ -89,27 +100,57 @@ class Encoder:
             ids.update((p, flat[a:b]) for p, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
         return [ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c]) for c in cut]
 
+    def _ids_after_space(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words with a space before them, from the memo or learned now."""
+        ids = list(map(self.memo.get, words))
+        gaps = list(_nones(ids))
+        for a in range(0, len(gaps), 20_000):
+            some = gaps[a : a + 20_000]
+            fresh = self._learn([" " + words[i] for i in some])
+            for i, x in zip(some, fresh, strict=True):
+                ids[i] = x
+            if len(self.memo) < self.memo_words:
+                self.memo.update(zip([words[i] for i in some], fresh, strict=True))
+        return ids
+
+    def _by_distinct_words(self, texts: list[str]) -> list[bytes]:
+        """Texts that any single space may cut: words are found and told apart in bulk, and only distinct ones looked up."""
+        parts = [t.partition(" ") for t in texts]
+        firsts = self._learn([first for first, _, _ in parts])
+        split = pc.split_pattern(pa.array([rest if space else None for _, space, rest in parts], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        known = self._ids_after_space(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), self.dtype)
+        n = size[codes]
+        ends = np.cumsum(n)
+        ids = flat[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start[codes] - (ends - n), n)]
+        last = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        upto = np.concatenate([[0], ends])[last].tolist()
+        return [f + ids[a:b].tobytes() for f, a, b in zip(firsts, [0, *upto[:-1]], upto, strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as the bytes of a little-endian array."""
         if not self.by_word:
             return self._plain(texts)
+        out: list[bytes] = [b""] * len(texts)
         whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        plain = dict(zip(whole, self._plain([texts[i] for i in whole]), strict=True))
-        cut = [[] if i in plain or not t else words_of(t) for i, t in enumerate(texts)]
-        first = iter(self._learn([w[0] for w in cut if w]))
-        known = self.memo.get
-        ids = [[next(first), *map(known, w[1:])] if w else [plain.get(i, b"")] for i, w in enumerate(cut)]
-        gaps = [(i, k) for i, x in enumerate(ids) for k in _nones(x)]
-        new = list({cut[i][k] for i, k in gaps})
-        fresh: dict[str, bytes] = {}
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            fresh.update(zip(part, self._learn([" " + w for w in part]), strict=True))
-        for i, k in gaps:
-            ids[i][k] = fresh[cut[i][k]]
-        if len(self.memo) < self.memo_words:
-            self.memo.update(fresh)
-        return [b"".join(x) for x in ids]
+        skip = set(whole)
+        odd = [i for i, t in enumerate(texts) if i not in skip and not cuts_anywhere(t)]
+        skip.update(odd)
+        plain = [i for i, t in enumerate(texts) if t and i not in skip]
+        for places, how in ((whole, self._plain), (odd, self._by_words), (plain, self._by_distinct_words)):
+            for i, ids in zip(places, how([texts[i] for i in places]) if places else (), strict=True):
+                out[i] = ids
+        return out
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        cut = [_CUT.split(t) for t in texts]
+        firsts = self._learn([w[0] for w in cut])
+        distinct = list({x for w in cut for x in w[1:]})
+        ids = dict(zip(distinct, self._ids_after_space(distinct), strict=True))
+        return [f + b"".join([ids[x] for x in w[1:]]) for f, w in zip(firsts, cut, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -122,7 +163,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(texts: list[str], letters: int = 2_000_000):
+def batches(texts: list[str], letters: int = 6_000_000):
     """Slices of a list of texts with about so many letters each, one text at least."""
     start = total = 0
     for i, t in enumerate(texts):
