@@ -16,7 +16,7 @@ evidence 1/2; an empty table gives an empty result; further columns are kept out
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +25,13 @@ from sightline.session import cut
 
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 20_000
+#: Tasks of the fit; the sample is small, and each of its rounds gathers one row of coefficients per task.
+FIT_TASKS = 4
 _SURFACE = ["_length", "_upper", "_marks", "_distinct"]
 
 
-def features(docs: DataFrame, buckets: int = 1 << 16) -> DataFrame:
-    """Adds ``features``: the words of the whole text, hashed and scaled to length 1, and four figures of its surface."""
+def features(docs: DataFrame, buckets: int = 1 << 15) -> DataFrame:
+    """Adds ``features``: the words of the whole text, hashed, and four figures of its surface."""
     text = F.coalesce("text", F.lit(""))
     letters = F.greatest(F.length(text), F.lit(1))
     words = docs.withColumn("_words", F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
@@ -40,8 +42,7 @@ def features(docs: DataFrame, buckets: int = 1 << 16) -> DataFrame:
         "_distinct": F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1)),
     })
     hashed = HashingTF(numFeatures=buckets, binary=True, inputCol="_words", outputCol="_hashed").transform(figured)
-    scaled = Normalizer(inputCol="_hashed", outputCol="_scaled").transform(hashed)
-    return VectorAssembler(inputCols=["_scaled", *_SURFACE], outputCol="features").transform(scaled).drop("_words", "_hashed", "_scaled", *_SURFACE)
+    return VectorAssembler(inputCols=["_hashed", *_SURFACE], outputCol="features").transform(hashed).drop("_words", "_hashed", *_SURFACE)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7):
@@ -54,7 +55,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     if chosen.select("label").distinct().count() < 2:
         return None
     rows = cut(features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("features", "label"))
-    return LogisticRegression(maxIter=60, regParam=2e-5, standardization=False, aggregationDepth=2).fit(rows)
+    return LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(rows.coalesce(FIT_TASKS))
 
 
 def _logit(p: Column) -> Column:
