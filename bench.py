@@ -19,7 +19,7 @@ HEADLINES = [
     "hotspots", "density_summary", "marker_cells", "species_stats", "species_diameter", "avg_pair_distance", "leader_clusters",
     "distance_from_first", "near_row_pairs", "time_patterns", "timeline_weekly", "invasive_daily", "risk_alerts", "code_session_join",
     "build_manifest_taxa", "photos_per_species", "file_counter", "training_table", "dataset_audit", "clean_text", "page_records",
-    "species_records", "assemble_pages", "advisory", "species_fallback", "knn", "knn_topk", "image_features", "stream_live_counts",
+    "species_records", "assemble_pages", "advisory", "species_fallback", "knn", "knn_topk", "stream_live_counts",
 ]
 
 

@@ -90,7 +90,7 @@ def _active_notifications(notifications: DataFrame) -> DataFrame:
 
 def alerts_new(alerts: DataFrame, notifications: DataFrame) -> DataFrame:
     """Alerts with no equal active notification."""
-    known = _active_notifications(notifications).select("title", "description")
+    known = _active_notifications(notifications).select("title", "description").distinct()
     return alerts.join(known, ["title", "description"], "left_anti")
 
 

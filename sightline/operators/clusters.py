@@ -21,11 +21,10 @@ from sightline.operators.curation import first_per_group
 from sightline.operators.predicates import has_location, not_removed
 from sightline.session import cut
 
-#: Places that may form one tile at the end; above it the work is done in rounds over all tasks.
-TAIL = 10_000
-#: Places a tile looks at in one round, and the side of a tile in cluster radii.
-PER_TILE = 4_000
-TILE_SIDE = 32
+#: Places a tile looks at in one round, and the side of a tile in cluster radii. Spark cuts groups to a constant
+#: number of rows before the shuffle only up to spark.sql.optimizer.windowGroupLimitThreshold, 1000 by default.
+PER_TILE = 1_000
+TILE_SIDE = 16
 
 
 def _rank():
@@ -79,18 +78,12 @@ def _settled_leaders(listed: DataFrame, km: float) -> DataFrame:
     return cut(done.select("cell", F.struct("age", "id").alias("rank"), "lng", "lat"))
 
 
-def leaders_of(places: DataFrame, km: float, tail: int = TAIL, per_tile: int = PER_TILE) -> DataFrame:
-    """Leaders (lng, lat, rank, cell) of the distinct places.
-
-    Rounds run while many places are open; the last ``tail`` form a single tile.
-    """
+def leaders_of(places: DataFrame, km: float, per_tile: int = PER_TILE) -> DataFrame:
+    """Leaders (lng, lat, rank, cell) of the distinct places, in rounds over all tiles until none is open."""
     grid, tiles = SphereGrid(km), SphereGrid(km, side_km=TILE_SIDE * km)
     columns = ["cell", F.col("rank.age").alias("age"), F.col("rank.id").alias("id"), "lng", "lat"]
     open_places, rounds = places, []
-    while left := open_places.count():
-        if left <= tail:
-            rounds.append(_settled_leaders(open_places.select(F.lit(0).alias("tile"), F.lit(True).alias("own"), *columns), km))
-            break
+    while not open_places.isEmpty():
         at = F.col("lng"), F.col("lat")
         listed = open_places.select(F.explode(tiles.cover(*at)).alias("tile"), tiles.cell(*at).alias("home"), *columns)
         # a constant limit on the row number is applied in every task before the shuffle
@@ -105,11 +98,11 @@ def leaders_of(places: DataFrame, km: float, tail: int = TAIL, per_tile: int = P
     return leaders
 
 
-def cluster_places(s: DataFrame, km: float = 2.0, tail: int = TAIL) -> DataFrame:
+def cluster_places(s: DataFrame, km: float = 2.0) -> DataFrame:
     """Every active place with its sighting count and its leader: lng, lat, n, leader_id."""
     grid = SphereGrid(km)
     places = cut(_places(s, grid))
-    reach = _reach(leaders_of(places, km, tail), grid)
+    reach = _reach(leaders_of(places, km), grid)
     return (
         places.join(reach, "cell").where(_within(km))
         .groupBy("lng", "lat").agg(F.first("n").alias("n"), F.min("lead_rank").alias("lead"))
@@ -125,9 +118,9 @@ def cluster_leaders(s: DataFrame, km: float = 2.0) -> DataFrame:
     )
 
 
-def leader_clusters(s: DataFrame, km: float = 2.0, min_size: int = 2, tail: int = TAIL) -> DataFrame:
+def leader_clusters(s: DataFrame, km: float = 2.0, min_size: int = 2) -> DataFrame:
     """Clusters with at least ``min_size`` sightings: count, centre, radius in km and species."""
-    places = cut(cluster_places(s, km, tail))
+    places = cut(cluster_places(s, km))
     rows = s.where(has_location(F.col("lng"), F.col("lat")) & not_removed(F.col("is_removed")))
     kinds = rows.select("lng", "lat", F.coalesce(F.nullif("predicted_species", F.lit("")), F.lit("Unknown")).alias("species")).distinct()
     species = places.join(kinds, ["lng", "lat"]).groupBy("leader_id").agg(F.sort_array(F.collect_set("species")).alias("species"))

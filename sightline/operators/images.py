@@ -1,56 +1,19 @@
-"""Image tables: seeded variants, feature vectors and the names of written files."""
+"""Names of the augmented versions of an image inventory."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions import pixels
 from sightline.operators.curation import cap_per_class, file_counter
 
 
-def _decode(data: bytes, height: int, width: int) -> np.ndarray:
-    """Stored rows are blue first; the operations work red first."""
-    return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 3)[..., ::-1]
-
-
-def augment_images(images: DataFrame, factor: int = 8, cap: int = 300, seed: int = 42) -> DataFrame:
-    """Up to ``factor`` versions of each image (the original is number 0), at most ``cap`` per class.
+def augmented_manifest(inventory: DataFrame, factor: int = 8, cap: int = 300, seed: int = 42) -> DataFrame:
+    """File name of each version beside its original (path, class_name); number 0 is the original, which isn't written again.
 
-    Only paths are sampled and numbered; pixels are joined to the kept paths and never sorted.
+    A class keeps as many originals as give ``cap`` versions at most. Names need no pixels: one row per version.
     """
-    index = file_counter(cap_per_class(images.select("path", "class_name"), factor, cap, seed)).select("path", "counter")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                img = _decode(r.data, r.height, r.width)
-                for i, (name, out) in enumerate(pixels.variants(img, pixels.rng_for(seed, r.path), factor)):
-                    rows.append((r.path, r.class_name, r.counter, i, name, r.height, r.width, out[..., ::-1].tobytes()))
-            yield pd.DataFrame(rows, columns=["path", "class_name", "counter", "variant", "effect", "height", "width", "data"])
-
-    schema = "path string, class_name string, counter long, variant int, effect string, height int, width int, data binary"
-    return images.join(index, "path").mapInPandas(run, schema)
-
-
-def augmented_manifest(augmented: DataFrame) -> DataFrame:
-    """File name of each variant beside its original; the original itself is not written again."""
+    kept = file_counter(cap_per_class(inventory.select("path", "class_name"), factor, cap, seed))
     base = F.regexp_replace("path", r"\.[^./]+$", "")
     name = F.concat(base, F.lit("_aug"), F.col("variant").cast("string"), F.lit("_"), F.col("counter").cast("string"), F.lit(".jpg"))
-    return augmented.where(F.col("variant") > 0).withColumn("out_path", name)
-
-
-def image_features(images: DataFrame) -> DataFrame:
-    """Feature vector of 1024 floats per image."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            vectors = [pixels.features(_decode(d, h, w)) for d, h, w in zip(pdf["data"], pdf["height"], pdf["width"])]
-            yield pd.DataFrame({"path": pdf["path"], "features": vectors})
-
-    return images.select("path", "height", "width", "data").mapInPandas(run, "path string, features array<float>")
+    return kept.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(factor - 1)))).withColumn("out_path", name)

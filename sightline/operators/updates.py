@@ -19,9 +19,21 @@ def new_sightings(df: DataFrame) -> DataFrame:
     )
 
 
-def apply_analysis(sightings: DataFrame, results: DataFrame) -> DataFrame:
-    """Set status and risk from results (sighting_id, status, risk_level); a failure keeps the risk."""
-    r = results.select("sighting_id", F.col("status").alias("_status"), F.col("risk_level").alias("_risk"))
+def _last(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row per key: the last by ``order``, or else the largest, so that repeated updates change a row once."""
+    rest = [c for c in rows.columns if c not in keys]
+    row = F.struct(*rest)
+    last = F.max_by(row, F.struct(order, *rest)) if order else F.max(row)
+    return rows.groupBy(*keys).agg(last.alias("_row")).select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in rest])
+
+
+def apply_analysis(sightings: DataFrame, results: DataFrame, order: str | None = None) -> DataFrame:
+    """Set status and risk from results (sighting_id, status, risk_level); a failure keeps the risk.
+
+    Of several results for one sighting the last by the column ``order`` counts.
+    """
+    columns = ["sighting_id", "status", "risk_level", *([order] if order else [])]
+    r = _last(results.select(*columns), ["sighting_id"], order).select("sighting_id", F.col("status").alias("_status"), F.col("risk_level").alias("_risk"))
     done = F.col("_status") == "completed"
     return (
         sightings.join(r, "sighting_id", "left")
@@ -31,10 +43,11 @@ def apply_analysis(sightings: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def mark_removed(sightings: DataFrame, removals: DataFrame, as_of: Column) -> DataFrame:
-    """Set the removal columns of matching (sighting_id, owner) rows."""
+    """Set the removal columns of matching (sighting_id, owner) rows; of repeated removals the last one counts."""
     r = removals.select(
         "sighting_id", "owner", F.coalesce("removed_at", as_of).alias("_at"), F.coalesce("removed_by", F.lit("user")).alias("_by"),
     )
+    r = _last(r, ["sighting_id", "owner"], "_at")
     hit = F.col("_at").isNotNull()
     return (
         sightings.join(r, ["sighting_id", "owner"], "left")

@@ -491,7 +491,8 @@ def apply_analysis_results(spark, d):
     s = rows(spark, d)
     results = s.where("sighting_id % 4 = 0").select("sighting_id", F.when(F.col("sighting_id") % 8 == 0, "failed").otherwise("completed").alias("status"),
                                                     F.lit("Low").alias("risk_level"))
-    return updates.apply_analysis(s, results).select("sighting_id", "llm_status", "risk_level")
+    results = results.withColumn("ts", F.lit(2)).union(results.where("sighting_id % 3 = 0").selectExpr("sighting_id", "'completed'", "'High'", "1"))
+    return updates.apply_analysis(s, results, "ts").select("sighting_id", "llm_status", "risk_level")
 
 
 REMOVALS = """, rm AS (SELECT sighting_id + CASE WHEN sighting_id % 26 = 0 THEN 100000000 ELSE 0 END AS sighting_id, owner, NULL::VARCHAR AS removed_by
@@ -511,7 +512,8 @@ SELECT s.sighting_id, r.sighting_id IS NOT NULL OR coalesce(is_removed,false) AS
 FROM sightings s LEFT JOIN rm r USING (sighting_id, owner)"""))
 def mark_removed(spark, d):
     s = rows(spark, d)
-    return updates.mark_removed(s, _removals(s), as_of()).select("sighting_id", "is_removed", stamp("removed_at").alias("removed_at"), "removed_by")
+    twice = _removals(s).union(_removals(s))
+    return updates.mark_removed(s, twice, as_of()).select("sighting_id", "is_removed", stamp("removed_at").alias("removed_at"), "removed_by")
 
 
 @query("removals_not_found", S(f"{REMOVALS} SELECT sighting_id, owner FROM rm WHERE (sighting_id, owner) NOT IN (SELECT (sighting_id, owner) FROM sightings)"))

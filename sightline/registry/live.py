@@ -12,55 +12,75 @@ from sightline.sources import readers, tables as tb
 from sightline.streaming import feeds
 
 
-def live(spark, d):
-    """The sightings as a stream over the event files."""
-    schema = tb.table(spark, d, "events").schema
-    return spark.sql(tb.SIGHTINGS, events=spark.readStream.schema(schema).parquet(f"{d}/events*"))
+SLICES = 3
+
+
+def live(spark, d, build, mode, label):
+    """Changes of a stream over the sightings, which arrive in slices of time.
+
+    After each slice the stream is started anew on the same folders and goes on from where it stopped.
+    """
+    events, source, out = tb.table(spark, d, "events"), new_path(spark, "events"), new_path(spark, label)
+    for rows in slices(events):
+        rows.write.mode("append").parquet(source)
+        changes = feeds.run_to_table(build(sightings_stream(spark, source, events.schema)), mode, out)
+    return changes
+
+
+def slices(events):
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [low + (high - low) * k / SLICES for k in range(1, SLICES)]
+    part = sum((F.when(F.col("ts") >= F.lit(c), 1).otherwise(0) for c in cuts), F.lit(0))
+    return [events.where(F.coalesce(part, F.lit(0)) == k) for k in range(SLICES)]
+
+
+def sightings_stream(spark, source, schema):
+    return spark.sql(tb.SIGHTINGS, events=spark.readStream.schema(schema).parquet(source))
 
 
 @query("stream_new_sightings", S("""
 SELECT sighting_id, coalesce(nullif(predicted_species,''),'Unknown species') AS predicted_species, round(coalesce(lng,0),6) AS lng, 'pending' AS llm_status FROM sightings"""))
 def stream_new_sightings(spark, d):
-    out = feeds.run_to_table(feeds.stream_new_sightings(live(spark, d)), "append", "new-sightings")
+    out = live(spark, d, feeds.stream_new_sightings, "append", "new-sightings")
     return rounded(out.select("sighting_id", "predicted_species", "lng", "llm_status"), "lng")
 
 
 @query("stream_status", S("""
 SELECT sighting_id, CASE WHEN sighting_id % 8 = 0 THEN 'failed' WHEN sighting_id % 4 = 0 THEN 'completed' ELSE llm_status END AS llm_status FROM sightings"""))
 def stream_status(spark, d):
-    results = live(spark, d).where("sighting_id % 4 = 0").select(
-        "sighting_id", F.when(F.col("sighting_id") % 8 == 0, "failed").otherwise("completed").alias("status"), F.lit("Low").alias("risk_level"),
-        F.col("created_at").alias("ts"))
-    changes = feeds.run_to_table(feeds.stream_status(results), "append", "status")
-    now = feeds.latest(changes, ["sighting_id"], "ts")
-    return apply_analysis(tb.sightings(spark, d), now).select("sighting_id", "llm_status")
+    def results(s):
+        return feeds.stream_status(s.where("sighting_id % 4 = 0").select(
+            "sighting_id", F.when(F.col("sighting_id") % 8 == 0, "failed").otherwise("completed").alias("status"), F.lit("Low").alias("risk_level"),
+            F.col("created_at").alias("ts")))
+    return apply_analysis(tb.sightings(spark, d), live(spark, d, results, "append", "status"), "ts").select("sighting_id", "llm_status")
 
 
 @query("stream_live_counts", S(f"SELECT strftime(created_at,'%Y-%m-%d') AS day, {SPECIES} AS species, count(*) AS n FROM sightings WHERE {ACTIVE} GROUP BY 1,2"))
 def stream_live_counts(spark, d):
-    changes = feeds.run_to_table(feeds.stream_live_counts(live(spark, d)), "update", "live-counts")
+    changes = live(spark, d, feeds.stream_live_counts, "update", "live-counts")
     return feeds.latest(changes, ["day", "species"])
 
 
 @query("stream_code_ttl", S(f"{CODES} SELECT use_id, code FROM j"))
 def stream_code_ttl(spark, d):
-    regs = live(spark, d).where("predicted_species = 'Unknown species'").select(F.col("owner").alias("code"), F.col("created_at").alias("ts"))
-    uses = live(spark, d).where("predicted_species = 'Bidens_pilosa'").select(
-        F.col("sighting_id").alias("use_id"), F.col("owner").alias("code"), F.col("created_at").alias("ts"))
-    return feeds.run_to_table(feeds.stream_code_ttl(regs, uses), "append", "code-ttl").select("use_id", "code")
+    def valid(s):
+        regs = s.where("predicted_species = 'Unknown species'").select(F.col("owner").alias("code"), F.col("created_at").alias("ts"))
+        uses = s.where("predicted_species = 'Bidens_pilosa'").select(F.col("sighting_id").alias("use_id"), F.col("owner").alias("code"), F.col("created_at").alias("ts"))
+        return feeds.stream_code_ttl(regs, uses)
+    return live(spark, d, valid, "append", "code-ttl").select("use_id", "code")
 
 
 @query("stream_frame_sample", S("""
 SELECT owner, arg_min(sighting_id, created_at) AS sighting_id, strftime(to_timestamp(CAST(floor(epoch_us(created_at)/3e6) AS BIGINT)*3) AT TIME ZONE 'UTC','%Y-%m-%d %H:%M:%S') AS start
 FROM sightings GROUP BY owner, CAST(floor(epoch_us(created_at)/3e6) AS BIGINT)"""))
 def stream_frame_sample(spark, d):
-    changes = feeds.run_to_table(feeds.stream_frame_sample(live(spark, d)), "update", "frames")
+    changes = live(spark, d, feeds.stream_frame_sample, "update", "frames")
     return feeds.latest(changes, ["start", "owner"]).select("owner", "sighting_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
 @query("stream_marker_cells", S(f"{CELLS4} SELECT cell_lat, cell_lng, n, sighting_id AS newest_id FROM r1 WHERE rn = 1"))
 def stream_marker_cells(spark, d):
-    return feeds.latest(feeds.run_to_table(feeds.stream_marker_cells(live(spark, d)), "update", "cells"), ["cell_lat", "cell_lng"])
+    return feeds.marker_cells(live(spark, d, feeds.stream_marker_cells, "update", "cells")).drop("newest_at")
 
 
 @query("stream_removals", S(f"""
@@ -68,8 +88,9 @@ SELECT {cell('lat','1e-2')} AS cell_lat, {cell('lng','1e-2')} AS cell_lng, CAST(
 FROM sightings WHERE {PLACED} GROUP BY 1,2"""))
 def stream_removals(spark, d):
     gone = F.when(F.col("is_removed"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
-    changes = live(spark, d).select("sighting_id", "lng", "lat", F.explode(gone).alias("delta"))
-    return feeds.latest(feeds.run_to_table(feeds.stream_removals(changes, 0.01), "update", "removals"), ["cell_lat", "cell_lng"])
+    def counts(s):
+        return feeds.stream_removals(s.select("sighting_id", "lng", "lat", "created_at", F.explode(gone).alias("delta")), 0.01)
+    return feeds.cell_totals(live(spark, d, counts, "update", "removals"))
 
 
 @query("stream_activity_sessions", S("""
@@ -78,7 +99,7 @@ def stream_removals(spark, d):
 , q AS (SELECT owner, min(created_at) AS a, max(created_at) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM k GROUP BY owner, no)
 SELECT owner, strftime(a,'%Y-%m-%d %H:%M:%S') AS start, n FROM q WHERE b <= (SELECT max(created_at) - INTERVAL 1 HOUR FROM sightings)"""))
 def stream_activity_sessions(spark, d):
-    out = feeds.run_to_table(feeds.stream_activity_sessions(live(spark, d)), "append", "activity")
+    out = live(spark, d, feeds.stream_activity_sessions, "append", "activity")
     return out.select("owner", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
@@ -91,50 +112,15 @@ HOUR_ALERTS = ALERTS.replace(ALERTS[ALERTS.index(", c AS"):ALERTS.index(", al AS
 
 @query("stream_alerts", S(HOUR_ALERTS + " SELECT level, title, description FROM al"))
 def stream_alerts(spark, d):
-    notes = new_path(spark, "notifications")
-    feeds.stream_alerts(live(spark, d), new_path(spark, "cell-hours"), notes)
-    return spark.read.parquet(notes).select("level", "title", "description")
-
-
-# ---- image tables --------------------------------------------------------------------------
-
+    events, source, notes, store = tb.table(spark, d, "events"), new_path(spark, "events"), new_path(spark, "notifications"), new_path(spark, "cell-hours")
+    for rows in slices(events):
+        rows.write.mode("append").parquet(source)
+        feeds.stream_alerts(sightings_stream(spark, source, events.schema), store, notes)
+    last = spark.read.parquet(f"{store}-current").select("level", "title", "description", "batch")
+    return last.where(F.col("batch") == last.agg(F.max("batch")).scalar()).drop("batch")
 
-def image_table(spark, d):
-    """Every vector as an 8 by 8 picture: each number is one grey pixel."""
-    e = tb.table(spark, d, "embeddings")
-    level = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 4) * 32))).cast("int"))
-    pixels = F.unhex(F.array_join(F.transform(level, lambda b: F.repeat(F.lpad(F.hex(b), 2, "0"), 3)), ""))
-    name = F.concat(F.lit("class_"), F.col("label").cast("string"))
-    return e.select(F.concat(name, F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), name.alias("class_name"),
-                    F.lit(8).alias("height"), F.lit(8).alias("width"), pixels.alias("data"))
-
-
-PIXELS = "list_transform(embedding, lambda v: CAST(greatest(0, least(255, floor((v+4)*32))) AS INTEGER))"
-
-
-@query("image_features", f"""WITH px AS (SELECT 'class_' || label || '/' || vec_id || '.png' AS path, unnest({PIXELS}) // 4 AS bin FROM embeddings),
- n AS (SELECT path, bin, count(*) AS n FROM px GROUP BY 1,2)
-SELECT path, CAST(c*64 + bin AS INTEGER) AS slot, n::DOUBLE AS value FROM n, range(3) AS r(c)""")
-def image_features(spark, d):
-    f = images.image_features(image_table(spark, d)).select("path", F.posexplode("features").alias("slot", "value"))
-    return f.where("slot < 192 AND value > 0").select("path", "slot", F.col("value").cast("double").alias("value"))
 
-
-@query("image_feature_sums", f"""WITH px AS (SELECT 'class_' || label || '/' || vec_id || '.png' AS path, {PIXELS} AS g FROM embeddings)
-SELECT path, 192.0::DOUBLE AS color, 64.0::DOUBLE AS edges, 64.0::DOUBLE AS directions, 0.0::DOUBLE AS contour, 64.0::DOUBLE AS pattern FROM px""")
-def image_feature_sums(spark, d):
-    f = images.image_features(image_table(spark, d))
-
-    def part(a: int, n: int):
-        return F.aggregate(F.slice("features", a + 1, n), F.lit(0.0), lambda acc, x: acc + x)
-    return f.select("path", part(0, 192).alias("color"), part(192, 128).alias("edges"), part(320, 128).alias("directions"),
-                    part(448, 256).alias("contour"), part(704, 256).alias("pattern"))
-
-
-@query("augment_images")
-def augment_images(spark, d):
-    out = images.augment_images(image_table(spark, d))
-    return out.select("path", "class_name", "variant", "effect", F.md5("data").alias("data_md5"))
+# ---- image names ---------------------------------------------------------------------------
 
 
 @query("augmented_manifest", """WITH p AS (SELECT 'class_' || label AS c, 'class_' || label || '/' || vec_id || '.png' AS path FROM embeddings),
@@ -142,7 +128,9 @@ def augment_images(spark, d):
  o AS (SELECT path, row_number() OVER (PARTITION BY c ORDER BY path)-1 AS counter FROM k)
 SELECT path, CAST(v AS INTEGER) AS variant, replace(path,'.png','') || '_aug' || v || '_' || counter || '.jpg' AS out_path FROM o, range(1,8) AS r(v)""")
 def augmented_manifest(spark, d):
-    return images.augmented_manifest(images.augment_images(image_table(spark, d))).select("path", "variant", "out_path")
+    name = F.concat(F.lit("class_"), F.col("label").cast("string"))
+    inventory = tb.table(spark, d, "embeddings").select(F.concat(name, F.lit("/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), name.alias("class_name"))
+    return images.augmented_manifest(inventory).select("path", "variant", "out_path")
 
 
 # ---- text files written by the job ---------------------------------------------------------

@@ -20,9 +20,9 @@ def cell(c: str, tol: str) -> str:
 SELECT cell_lat, cell_lng, round(cell_lat*1e-2,6) AS lat, round(cell_lng*1e-2,6) AS lng, n, species FROM (
  SELECT {cell('lat','1e-2')} AS cell_lat, {cell('lng','1e-2')} AS cell_lng, count(*) AS n,
   array_to_string(list_sort(list(DISTINCT {SPECIES})), '|') AS species
- FROM sightings WHERE {ACTIVE} AND {PLACED} GROUP BY 1,2 HAVING count(*) >= 12)"""))
+ FROM sightings WHERE {ACTIVE} AND {PLACED} GROUP BY 1,2 HAVING count(*) >= 3)"""))
 def hotspots(spark, d):
-    h = spatial.hotspots(tb.sightings(spark, d), min_n=12)
+    h = spatial.hotspots(tb.sightings(spark, d))
     return rounded(h.withColumn("species", joined("species")), "lat", "lng")
 
 

@@ -17,7 +17,7 @@ from sightline.operators.alerts import alert_rows, alerts_new
 from sightline.operators.predicates import has_location, not_removed
 from sightline.operators.spatial import newest_first, species_or
 from sightline.operators.updates import new_sightings
-from sightline.session import new_path
+from sightline.session import cut
 
 
 def stream_new_sightings(src: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -64,17 +64,34 @@ def _cell_columns(tol: float) -> list[Column]:
     return [grid_cell(F.col("lat"), tol).alias("cell_lat"), grid_cell(F.col("lng"), tol).alias("cell_lng")]
 
 
-def stream_marker_cells(src: DataFrame, tol: float = 1e-4) -> DataFrame:
-    """Count and newest member of each marker cell, re-emitted when it changes."""
-    return (
-        src.where(has_location(F.col("lng"), F.col("lat"))).groupBy(*_cell_columns(tol))
-        .agg(F.count(F.lit(1)).alias("n"), F.max_by("sighting_id", newest_first()).alias("newest_id"))
-    )
+def _by_day_and_cell(src: DataFrame, tol: float, late: str):
+    """Groups of a day and a cell: a day's cells leave the state once the watermark has passed it."""
+    placed = src.where(has_location(F.col("lng"), F.col("lat"))).withWatermark("created_at", late)
+    return placed.groupBy(F.window("created_at", "1 day").alias("w"), *_cell_columns(tol))
+
+
+def stream_marker_cells(src: DataFrame, tol: float = 1e-4, late: str = "1 hour") -> DataFrame:
+    """Count and newest member of each marker cell and day, re-emitted when they change."""
+    found = _by_day_and_cell(src, tol, late).agg(
+        F.count(F.lit(1)).alias("n"), F.max_by("sighting_id", newest_first()).alias("newest_id"), F.max("created_at").alias("newest_at"))
+    return found.select(F.col("w.start").alias("day"), "cell_lat", "cell_lng", "n", "newest_id", "newest_at")
+
+
+def marker_cells(changes: DataFrame) -> DataFrame:
+    """Current marker cells from the changes of ``stream_marker_cells``."""
+    days = latest(changes, ["day", "cell_lat", "cell_lng"])
+    return days.groupBy("cell_lat", "cell_lng").agg(F.sum("n").alias("n"), F.max_by("newest_id", "day").alias("newest_id"), F.max("newest_at").alias("newest_at"))
+
+
+def stream_removals(src: DataFrame, tol: float = 1e-4, late: str = "1 hour") -> DataFrame:
+    """Cell counts of each day after removals, from changes (sighting_id, lng, lat, created_at, delta of +1 or -1)."""
+    found = _by_day_and_cell(src, tol, late).agg(F.sum("delta").alias("n"))
+    return found.select(F.col("w.start").alias("day"), "cell_lat", "cell_lng", "n")
 
 
-def stream_removals(src: DataFrame, tol: float = 1e-4) -> DataFrame:
-    """Cell counts after removals, from changes (sighting_id, lng, lat, delta of +1 or -1)."""
-    return src.where(has_location(F.col("lng"), F.col("lat"))).groupBy(*_cell_columns(tol)).agg(F.sum("delta").alias("n"))
+def cell_totals(changes: DataFrame) -> DataFrame:
+    """Current cell counts from the changes of ``stream_removals``."""
+    return latest(changes, ["day", "cell_lat", "cell_lng"]).groupBy("cell_lat", "cell_lng").agg(F.sum("n").alias("n"))
 
 
 def stream_activity_sessions(src: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -89,19 +106,19 @@ def stream_activity_sessions(src: DataFrame, gap: str = "30 minutes", late: str
 # ---- sinks ---------------------------------------------------------------------------------
 
 
-def run_to_table(stream: DataFrame, mode: str, label: str, path: str | None = None) -> DataFrame:
-    """Run what is available and read back the changes with their ``batch``.
+def run_to_table(stream: DataFrame, mode: str, out: str) -> DataFrame:
+    """Run what is available and read back all changes below ``out`` with their ``batch``.
 
-    A batch overwrites its own folder, so a retried batch leaves no double rows.
+    The stream's progress and state are kept beside its output: a later run on the same folder goes
+    on where this one stopped. A batch overwrites its own folder, so a retried batch leaves no double rows.
     """
     spark = stream.sparkSession
-    out = path or new_path(spark, label)
 
     def save(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, f"{label}-state"))
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_state")
         .trigger(availableNow=True).foreachBatch(save).start()
     )
     query.awaitTermination()
@@ -119,15 +136,17 @@ def latest(changes: DataFrame, keys: list[str], order: str = "batch") -> DataFra
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def stream_alerts(src: DataFrame, store: str, notifications: str, cell: float = 0.01, min_n: int = 3) -> None:
-    """Raise alerts that no active notification already states, batch by batch.
+def stream_alerts(src: DataFrame, store: str, notifications: str, cell: float = 0.01, min_n: int = 3, days: int = 7) -> None:
+    """Raise alerts that no active notification already states, batch by batch; a later run on the same folders goes on.
 
-    The store keeps counts per cell and hour, not sightings, so a batch reads a small table. The
-    reference time is the last full hour seen.
+    Running totals are kept per cell and hour, and per cell alone for hours older than ``days``. A batch reads the
+    totals of the one before and writes its own in the other of two places, so a retried batch finds what it needs. What
+    holds after each batch is kept below ``store-current``. The reference time is the last full hour seen.
     """
     spark = src.sparkSession
     note_schema = "level string, title string, description string, action string, dismissed boolean, raised_at timestamp"
     part_schema = "cell_lat long, cell_lng long, hour timestamp, n long, high long"
+    old = F.lit("1970-01-01 00:00:00").cast("timestamp")
 
     def read(path: str, schema: str) -> DataFrame:
         try:
@@ -141,21 +160,27 @@ def stream_alerts(src: DataFrame, store: str, notifications: str, cell: float =
             .groupBy(*_cell_columns(cell), F.date_trunc("hour", "created_at").alias("hour"))
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(risk_is_high(F.col("risk_level"))).alias("high"))
         )
-        parts.write.mode("overwrite").parquet(f"{store}/batch={batch}")
-        counts = read(store, part_schema)
-        as_of = counts.agg(F.max("hour") + F.expr("INTERVAL 1 HOUR")).scalar()
-        recent = F.col("hour") > as_of - F.expr("INTERVAL 7 DAYS")
+        before = read(f"{store}/slot={(batch - 1) % 2}", part_schema) if batch else spark.createDataFrame([], part_schema)
+        both = cut(before.unionByName(parts))
+        as_of = both.agg(F.max("hour") + F.expr("INTERVAL 1 HOUR")).scalar()
+        recent = F.col("hour") > as_of - F.make_dt_interval(F.lit(days))
+        totals = both.withColumn("hour", F.when(recent, F.col("hour")).otherwise(old)).groupBy("cell_lat", "cell_lng", "hour").agg(
+            F.sum("n").alias("n"), F.sum("high").alias("high"))
+        place = f"{store}/slot={batch % 2}"
+        totals.write.mode("overwrite").parquet(place)
+        counts = spark.read.schema(part_schema).parquet(place)
         cells = counts.where(has_location(F.col("cell_lng"), F.col("cell_lat"))).groupBy("cell_lat", "cell_lng").agg(F.sum("n").alias("n"))
         sums = counts.agg(
-            F.coalesce(F.sum(F.when(recent, F.col("high"))), F.lit(0)).alias("critical_n"),
-            F.coalesce(F.sum(F.when(recent, F.col("n"))), F.lit(0)).alias("recent_n"), F.max("hour").alias("raised_at"),
+            F.coalesce(F.sum(F.when(F.col("hour") > old, F.col("high"))), F.lit(0)).alias("critical_n"),
+            F.coalesce(F.sum(F.when(F.col("hour") > old, F.col("n"))), F.lit(0)).alias("recent_n"), F.max("hour").alias("raised_at"),
         ).withColumn("hotspots", cells.agg(F.count_if(F.col("n") >= min_n)).scalar())
-        raised = sums.select(F.inline(alert_rows()), "raised_at").withColumn("dismissed", F.lit(False))
-        new = alerts_new(raised, read(notifications, note_schema))
-        new.select("level", "title", "description", "action", "dismissed", "raised_at").write.mode("overwrite").parquet(
-            f"{notifications}/batch={batch}")
+        sums.select(F.inline(alert_rows()), "raised_at").write.mode("overwrite").parquet(f"{store}-current/batch={batch}")
+        raised = spark.read.parquet(f"{store}-current/batch={batch}").withColumn("dismissed", F.lit(False))
+        earlier = read(notifications, note_schema + ", batch long").where(F.col("batch") < batch)
+        new = alerts_new(raised, earlier)
+        new.select("level", "title", "description", "action", "dismissed", "raised_at").write.mode("overwrite").parquet(f"{notifications}/batch={batch}")
 
     query = (
-        src.writeStream.option("checkpointLocation", new_path(spark, "alerts-state")).trigger(availableNow=True).foreachBatch(handle).start()
+        src.writeStream.option("checkpointLocation", f"{store}/_state").trigger(availableNow=True).foreachBatch(handle).start()
     )
     query.awaitTermination()

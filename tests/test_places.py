@@ -62,15 +62,15 @@ def greedy(rows, limit=2.0):
     return out
 
 
-@pytest.mark.parametrize("box, tail", [("city", 10_000), *[(b, 0) for b in BOXES]])
-def test_clusters_match_the_loop(spark, box, tail):
+@pytest.mark.parametrize("box", BOXES)
+def test_clusters_match_the_loop(spark, box):
     places = scattered(150, BOXES[box], 3)
     if box == "antimeridian":
         places = [(lng if i % 2 else lng - 359.97, lat) for i, (lng, lat) in enumerate(places)]
     places += places[:10]
     s, rows = make(spark, places)
     want = {lead: len(m) for lead, m in greedy(rows).items() if len(m) >= 2}
-    got = {r["leader_id"]: r["n"] for r in clusters.leader_clusters(s, tail=tail).collect()}
+    got = {r["leader_id"]: r["n"] for r in clusters.leader_clusters(s).collect()}
     assert got == want
 
 
@@ -82,7 +82,7 @@ def test_a_track_needs_few_rounds(spark, monkeypatch):
     calls = []
     settle = clusters._settled_leaders
     monkeypatch.setattr(clusters, "_settled_leaders", lambda *a: calls.append(1) or settle(*a))
-    got = {r["leader_id"]: r["n"] for r in clusters.leader_clusters(s, tail=0).collect()}
+    got = {r["leader_id"]: r["n"] for r in clusters.leader_clusters(s).collect()}
     assert got == {lead: len(m) for lead, m in greedy(rows).items() if len(m) >= 2}
     assert len(calls) <= 8
 
@@ -90,7 +90,7 @@ def test_a_track_needs_few_rounds(spark, monkeypatch):
 def test_crowded_tile_is_settled_in_parts(spark):
     s, rows = make(spark, scattered(200, BOXES["city"], 13))
     places = clusters._places(s, SphereGrid(2.0))
-    leaders = {r["rank"]["id"] for r in clusters.leaders_of(places, 2.0, tail=0, per_tile=40).collect()}
+    leaders = {r["rank"]["id"] for r in clusters.leaders_of(places, 2.0, per_tile=40).collect()}
     assert leaders == set(greedy(rows))
 
 

@@ -171,12 +171,20 @@ def test_code_sessions(spark):
 def test_mark_removed(spark):
     s = spark.createDataFrame([(1, 7, False, None, None), (2, 8, False, None, None)],
                               "sighting_id long, owner long, is_removed boolean, removed_at timestamp, removed_by string")
-    r = spark.createDataFrame([(1, 7, None, None), (2, 9, None, None)], "sighting_id long, owner long, removed_at timestamp, removed_by string")
+    r = spark.createDataFrame([(1, 7, None, None), (1, 7, None, None), (2, 9, None, None)], "sighting_id long, owner long, removed_at timestamp, removed_by string")
     got = {x["sighting_id"]: x for x in updates.mark_removed(s, r, as_of()).collect()}
+    assert updates.mark_removed(s, r, as_of()).count() == 2
     assert got[1]["is_removed"] and got[1]["removed_by"] == "user" and not got[2]["is_removed"]
     assert updates.removals_not_found(s, r).count() == 1
 
 
+def test_repeated_results_change_a_sighting_once(spark):
+    s = spark.createDataFrame([(1, "pending", None), (2, "pending", "Low")], "sighting_id long, llm_status string, risk_level string")
+    r = spark.createDataFrame([(1, "completed", "High", 2), (1, "failed", None, 1), (1, "completed", "High", 2)], "sighting_id long, status string, risk_level string, ts int")
+    got = sorted((x["sighting_id"], x["llm_status"], x["risk_level"]) for x in updates.apply_analysis(s, r, "ts").collect())
+    assert got == [(1, "completed", "High"), (2, "pending", "Low")]
+
+
 def test_audit(spark):
     counts = spark.createDataFrame([("a", 0), ("b", 5), ("c", 9), ("d", 10), ("e", 200), ("f", 201), ("observation_1", 3)], "class_name string, n long")
     a = c.dataset_audit(counts).first()
