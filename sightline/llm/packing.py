@@ -103,14 +103,14 @@ _PACKED = "_part long, _bin long, offset long, open boolean"
 
 
 def _pack_parts(rows: DataFrame, capacity: int) -> DataFrame:
-    """Packs each ``_part`` of rows (row, length, _part); adds bin, offset and whether the bin is given up."""
+    """Packs each ``_part`` of rows (__row, length, _part); adds bin, offset and whether the bin is given up."""
     def of(group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].to_numpy()
         bins, offsets, held = best_fit(lengths, capacity)
         gap = len(held) > least_bins(lengths, capacity)
-        return group[["row", "length", "_part"]].assign(_bin=bins, offset=offsets, open=gap & (held[bins] < capacity))
+        return group[["__row", "length", "_part"]].assign(_bin=bins, offset=offsets, open=gap & (held[bins] < capacity))
 
-    return rows.groupBy("_part").applyInPandas(of, f"row long, length long, {_PACKED}")
+    return rows.groupBy("_part").applyInPandas(of, f"__row long, length long, {_PACKED}")
 
 
 def pack(items: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds: int = 4) -> DataFrame:
@@ -118,21 +118,21 @@ def pack(items: DataFrame, capacity: int = 2048, per_part: int = 20_000, rounds:
 
     ``per_part`` bounds the pieces of one partition, ``rounds`` the exchanges; after the last one, what is packed stays.
     """
-    items = cut(items.withColumn("row", F.monotonically_increasing_id()))
-    waiting, done = items.where(F.col("length") < capacity).select("row", "length"), []
+    items = cut(items.withColumn("__row", F.monotonically_increasing_id()))
+    waiting, done = items.where(F.col("length") < capacity).select("__row", "length"), []
     for k in range(rounds):
         n = waiting.count()
         if not n:
             break
         parts = -(-n // per_part)
-        packed = cut(_pack_parts(waiting.withColumn("_part", F.pmod(F.xxhash64(F.lit(k), "row"), F.lit(parts))), capacity))
+        packed = cut(_pack_parts(waiting.withColumn("_part", F.pmod(F.xxhash64(F.lit(k), "__row"), F.lit(parts))), capacity))
         last = k == rounds - 1 or parts == 1
         closed = packed if last else packed.where(~F.col("open"))
-        done.append(closed.select("row", "offset", (F.lit(k << 58) + F.shiftleft("_part", 20) + F.col("_bin")).alias("sequence_id")))
+        done.append(closed.select("__row", "offset", (F.lit(k << 58) + F.shiftleft("_part", 20) + F.col("_bin")).alias("sequence_id")))
         if last:
             break
-        waiting = packed.where("open").select("row", "length")
-    full = items.where(F.col("length") == capacity).select("row", F.lit(0).cast("long").alias("offset"), (-1 - F.col("row")).alias("sequence_id"))
+        waiting = packed.where("open").select("__row", "length")
+    full = items.where(F.col("length") == capacity).select("__row", F.lit(0).cast("long").alias("offset"), (-1 - F.col("__row")).alias("sequence_id"))
     for d in done:
         full = full.union(d)
-    return items.join(full, "row").drop("row")
+    return items.join(full, "__row").drop("__row")
