@@ -52,9 +52,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7)
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     chosen = cut(known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample).select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("double").alias("label")))
-    if chosen.select("label").distinct().count() < 2:
-        return None
     rows = cut(features(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("features", "label"))
+    if rows.select("label").distinct().count() < 2:
+        return None
     return LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(rows.coalesce(FIT_TASKS))
 
 

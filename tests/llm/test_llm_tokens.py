@@ -153,12 +153,7 @@ def test_bounds_never_exceed_the_optimum(lengths):
 MIXED = [(i, "w " * (i % 13 * 5), f"s{i % 5}" if i % 5 else None) for i in range(400)] + [(900, "tiny text", "t1"), (901, None, "t2"), (902, "", "t1"), (903, "w\x0bw w x" * 900, "Z"), (903, "w\x0bw w x" * 900, "Z")]
 
 
-def test_mixing(spark):
-    got = mixing.mix(table(spark, MIXED)).collect()
-    assert len(got) == len(MIXED)
-    sizes = Counter()
-    for _, t, s in MIXED:
-        sizes[s] += len((t or "").replace(" ", "_").split())
+def plain_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weights = {s: 1.0 + i % 3 for i, s in enumerate(order)}
     target, free, total = {}, set(order), sum(sizes.values())
@@ -166,17 +161,25 @@ def test_mixing(spark):
         level = (total - sum(target.values())) / sum(weights[s] for s in free)
         over = {s for s in free if level * weights[s] > 3 * sizes[s]}
         if not over:
-            break
+            return target | {s: level * weights[s] for s in free}
         target |= {s: 3 * sizes[s] for s in over}
         free -= over
-    target |= {s: level * weights[s] for s in free}
+
+
+def test_mixing(spark):
+    got = mixing.mix(table(spark, MIXED)).collect()
+    assert len(got) == len(MIXED)
+    sizes = Counter()
+    for _, t, s in MIXED:
+        sizes[s] += len((t or "").replace(" ", "_").split())
+    target = plain_targets(sizes)
     taken, longest = Counter(), Counter()
     for r in got:
         s = r.source_key[1:] if r.source_key[0] == "0" else None
         assert r.source_size == sizes[s] and r.target == pytest.approx(target[s]) and 0 <= r.copies <= 3
         taken[s] += r.size * r.copies
         longest[s] = max(longest[s], r.size)
-    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1e-6 for s in order)
+    assert all(abs(taken[s] - target[s]) <= longest[s] / 2 + 1e-6 for s in sizes)
     again = mixing.mix(table(spark, MIXED).repartition(7))
     assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
     assert mixing.mix(table(spark, []).limit(0)).count() == 0
