@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import text as t
+from sightline.functions.arrays import bind
 from sightline.operators.predicates import looks_like_species
 
 NARRATIVE = ["where_found", "identification", "treatment", "poisonous"]
@@ -13,14 +14,16 @@ SINGLE = ["family", "origin"]
 
 
 def named_pages(pages: DataFrame) -> DataFrame:
-    """Pages (page_no, text) with a header and a species name, and their cleaned text."""
-    c = F.col("cleaned")
-    return (
-        pages.select("page_no", "text", t.normalize_page(F.col("text")).alias("cleaned"))
-        .where(t.has_header(c))
-        .withColumn("scientific_name", t.scientific_name(c))
-        .where(F.col("scientific_name").isNotNull())
-    )
+    """Pages (page_no, text) with a header and a species name, and their cleaned text.
+
+    Text and name are made once per page: a row is generated for pages with a name, so no filter is
+    moved below the cleaning and computes it again.
+    """
+    def read(cleaned: Column) -> Column:
+        return F.struct(cleaned.alias("cleaned"), F.when(t.has_header(cleaned), t.scientific_name(cleaned)).alias("scientific_name"))
+
+    made = F.array(bind(t.normalize_page(F.col("text")), read))
+    return pages.select("page_no", "text", F.inline(F.filter(made, lambda p: p["scientific_name"].isNotNull())))
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
