@@ -84,6 +84,7 @@ def recommendation_text(level: Column, n: Column, removals: Column) -> Column:
         F.concat(F.lit(" Great job removing "), removals.cast("string"), F.lit(" plant"), _plural(removals), F.lit(" today!")),
     ).otherwise("")
     count = n.cast("string")
+    # Texts of the recommendations and trends.
     body = (
         F.when(level == "high", F.concat(F.lit("Critical invasion detected! "), count,
                                          F.lit(" new invasive species found. Immediate intervention required.")))

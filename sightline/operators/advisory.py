@@ -140,6 +140,7 @@ def advisory(df: DataFrame, species: str = "lookup_name") -> DataFrame:
     k, name, conf = F.col("facts"), F.col(species), F.col("confidence")
     found = k.isNotNull()
     hit = k["invasive"]
+    # Texts of an advisory.
     manual = "Manual identification required"
 
     def pick(yes: Column, no: str | None) -> Column:

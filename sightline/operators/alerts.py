@@ -28,6 +28,7 @@ def _text(*parts: str | Column) -> Column:
 
 def alert_rows() -> Column:
     """Alert rows that follow from critical_n, recent_n and hotspots."""
+    # Limits and texts of the alerts.
     return _rules([
         (F.col("critical_n") > 0, [
             F.lit("critical"), F.lit("New Invasive Species Detected"),

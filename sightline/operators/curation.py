@@ -182,6 +182,7 @@ def dataset_audit(counts: DataFrame) -> DataFrame:
 def audit_advice(audit: DataFrame) -> DataFrame:
     """Advice rows that follow from the audit."""
     a = F.col
+    # Limits and texts of the advice.
     rules = [
         (1, (a("observation_folders") > 0) & (a("species_folders") == 0),
          "Your dataset is organized by observation ID rather than species."),

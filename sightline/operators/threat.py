@@ -105,6 +105,7 @@ def environmental_impact(daily: DataFrame) -> DataFrame:
     """Impact figures from the active and new counts of :func:`invasive_daily`."""
     n, today = F.col("active_invasives"), F.col("new_today")
 
+    # Limits and texts of the impact figures.
     def band(*texts: str) -> Column:
         out = F.when(n >= 20, texts[0]).when(n >= 10, texts[1]).when(n >= 5, texts[2]).when(n >= 1, texts[3])
         return out.otherwise(texts[4])
