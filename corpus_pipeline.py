@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import mixing, ownership, packing, pigeonring, site_quality
+from sightline.llm import mixing, ownership, packing, shingles, site_quality
 from sightline.session import cut
 
 
@@ -23,9 +23,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    groups = pigeonring.near_duplicates(docs, words=5)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of texts that share 0.8 of their five-word shingles or more.
+
+    Copies are one text. A text is held by its row with the smallest id, a group by the text with the smallest id, then
+    hash; rows without an id come last.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *[f"`{c}`" for c in rest])
+    same = F.sha2(F.coalesce(F.concat(F.lit("t"), "text"), F.lit("")), 256)
+    texts = docs.groupBy(same.alias("hash")).agg(F.first("text").alias("text"), F.min(row).alias("row"))
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
+    rooted = shingles.groups(texts, words=5)
+    order = F.struct("row.no_id", "row.doc_id", "hash")
+    chosen = texts.select("id", order.alias("order")).join(rooted, "id").groupBy("root").agg(F.min_by("id", "order").alias("id"))
+    kept = {"doc_id": F.col("row.doc_id"), "text": F.col("text")}
+    return texts.join(chosen, "id", "left_semi").select(*[kept.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
