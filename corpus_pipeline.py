@@ -9,17 +9,23 @@ one's docs. All but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import mixing, ownership, packing, shingles, site_quality
 from sightline.session import cut
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A key of the whole row; only rows that are equal in all columns share it."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}), 256)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    scored = site_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), host="source", path="lang")
-    return docs.join(scored.where("keep").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Documents that the quality classifier keeps, row by row."""
+    keyed = docs.withColumn("__row", _row_key(docs))
+    scored = site_quality.score(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), host="source", path="lang", key="__row")
+    return keyed.join(scored.where("keep").select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +52,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the rest of a source that is above its share goes."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    often = docs.join(taken, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return often.drop("__copies", "__copy").select(*[f"`{c}`" for c in docs.columns])
+    """Rows as often as the mix takes them; the rest of a source that is above its share goes. Draws are by row, not by id."""
+    keyed = docs.withColumn("__row", _row_key(docs))
+    mixed = mixing.mix(keyed.select(F.col("__row").alias("doc_id"), "text", "source"))
+    taken = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").alias("__copies"))
+    often = keyed.join(taken, "__row").dropDuplicates(["__row"])  # equal rows: one stands for the copies of all
+    often = often.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return often.select(*[f"`{c}`" for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

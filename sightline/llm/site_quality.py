@@ -108,10 +108,13 @@ def posteriors(evidence: DataFrame) -> DataFrame:
     )
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, host, path, evidence, host_posterior, path_posterior, posterior, keep) of every row of ``docs``."""
+def score(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int = SAMPLE, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
+    """(doc_id, host, path, evidence, host_posterior, path_posterior, posterior, keep) of every row of ``docs``.
+
+    The column ``key`` names the rows in the result; labels are always found by ``doc_id``.
+    """
     model = fit(docs, labels, sample)
-    rows = docs.select("doc_id", "text", F.col(host).alias("host"), F.col(path).alias("path"))
+    rows = docs.select(F.col(key).alias("doc_id"), "text", F.col(host).alias("host"), F.col(path).alias("path"))
     if model is None:
         rows = rows.withColumn("evidence", F.lit(0.5))
     else:
