@@ -88,12 +88,12 @@ def holders(candidates: DataFrame) -> DataFrame:
     return distinct.groupBy("value_hash").agg(F.count_distinct("repository").alias("n_repositories"), F.count_distinct("owner").alias("n_owners"))
 
 
-def scan(docs: DataFrame, owner: str, repository: list[str], copied_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, owner: str, repository: list[str], copied_owners: int = 3, live_owners: int = 1) -> DataFrame:
     """One row per document: doc_id, text_hash, base (ordered spans) and spans (base and verdicts, ordered).
 
     ``docs`` has doc_id, text, the column of owners and those that name a repository. A verdict is a span of its value:
-    ``copied`` for values of ``copied_owners`` owners or more, ``live`` for values of one owner that look real. Values of
-    a few owners, and placeholders, get no verdict.
+    ``copied`` for values of ``copied_owners`` owners or more, ``live`` for values of ``live_owners`` or fewer that look
+    real. Placeholders, and values of owners in between, get no verdict; ``live_owners = copied_owners - 1`` leaves no such gap.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = cut(
@@ -108,7 +108,7 @@ def scan(docs: DataFrame, owner: str, repository: list[str], copied_owners: int
     )
     candidates = found.where(F.size("found") > 0).select("row", "owner", "repository", F.explode("found").alias("span"))
     candidates = candidates.withColumn("value_hash", F.sha2("span.value", 256))
-    verdicts = holders(candidates).where((F.col("n_owners") == 1) | (F.col("n_owners") >= copied_owners))
+    verdicts = holders(candidates).where((F.col("n_owners") <= live_owners) | (F.col("n_owners") >= copied_owners))
     real = ~F.col("span.value").rlike(PLACEHOLDER) & (F.length(F.regexp_replace("span.value", "[^0-9]", "")) >= 2)
     judged = (
         candidates.join(verdicts, "value_hash")

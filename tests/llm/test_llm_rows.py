@@ -32,3 +32,12 @@ def test_near_duplicates_and_mixture_go_by_row(spark, sf_dir):
     want = sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4]), (9, text[5])], key=str)
     assert order(corpus_pipeline.near_duplicates(spark, docs, sf_dir)) == want
     assert order(corpus_pipeline.mixture(spark, docs, sf_dir)) == sorted(rows, key=str)  # one source takes each row once
+
+
+def test_secrets_of_two_sources_go(spark, sf_dir):
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    two, three = "token = abcdefgh935176", "token = qrstuvwx846287"
+    rows = [(1, f"one {two}", "a"), (2, f"other {two}", "b"), *((3 + i, f"{s} {three}", s) for i, s in enumerate("abc")), (6, "token = your_example_1234567", "a")]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t)) for d, t, s in rows], names)
+    after = {r.doc_id: r.text for r in corpus_pipeline.secrets(spark, docs, sf_dir).collect()}
+    assert after == {1: "one token = [SECRET]", 2: "other token = [SECRET]", **{d: t for d, t, _ in rows[2:]}}
