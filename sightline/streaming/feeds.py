@@ -65,13 +65,17 @@ def _cell_columns(tol: float) -> list[Column]:
 
 
 def _by_day_and_cell(src: DataFrame, tol: float, late: str):
-    """Groups of a day and a cell: a day's cells leave the state once the watermark has passed it."""
-    placed = src.where(has_location(F.col("lng"), F.col("lat"))).withWatermark("created_at", late)
-    return placed.groupBy(F.window("created_at", "1 day").alias("w"), *_cell_columns(tol))
+    """Groups of a day of arrival and a cell: a day's cells leave the state once the watermark has passed it.
+
+    A row arrives with its batch, so none is late: old sightings, removals of any later day and rows without
+    ``created_at`` all count.
+    """
+    placed = src.where(has_location(F.col("lng"), F.col("lat"))).withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", late)
+    return placed.groupBy(F.window("arrived_at", "1 day").alias("w"), *_cell_columns(tol))
 
 
 def stream_marker_cells(src: DataFrame, tol: float = 1e-4, late: str = "1 hour") -> DataFrame:
-    """Count and newest member of each marker cell and day, re-emitted when they change."""
+    """Count and newest member of each marker cell and day of arrival, re-emitted when they change."""
     found = _by_day_and_cell(src, tol, late).agg(
         F.count(F.lit(1)).alias("n"), F.max_by("sighting_id", newest_first()).alias("newest_id"), F.max("created_at").alias("newest_at"))
     return found.select(F.col("w.start").alias("day"), "cell_lat", "cell_lng", "n", "newest_id", "newest_at")
@@ -80,11 +84,11 @@ def stream_marker_cells(src: DataFrame, tol: float = 1e-4, late: str = "1 hour")
 def marker_cells(changes: DataFrame) -> DataFrame:
     """Current marker cells from the changes of ``stream_marker_cells``."""
     days = latest(changes, ["day", "cell_lat", "cell_lng"])
-    return days.groupBy("cell_lat", "cell_lng").agg(F.sum("n").alias("n"), F.max_by("newest_id", "day").alias("newest_id"), F.max("newest_at").alias("newest_at"))
+    return days.groupBy("cell_lat", "cell_lng").agg(F.sum("n").alias("n"), F.max_by("newest_id", F.struct("newest_at", (-F.col("newest_id")).alias("k"))).alias("newest_id"), F.max("newest_at").alias("newest_at"))
 
 
 def stream_removals(src: DataFrame, tol: float = 1e-4, late: str = "1 hour") -> DataFrame:
-    """Cell counts of each day after removals, from changes (sighting_id, lng, lat, created_at, delta of +1 or -1)."""
+    """Cell counts of each day of arrival after removals, from changes (sighting_id, lng, lat, created_at, delta of +1 or -1)."""
     found = _by_day_and_cell(src, tol, late).agg(F.sum("delta").alias("n"))
     return found.select(F.col("w.start").alias("day"), "cell_lat", "cell_lng", "n")
 
