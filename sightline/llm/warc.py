@@ -114,7 +114,7 @@ def derivatives(source: DataFrame, *keep: str) -> DataFrame:
     fields = F.concat_ws(
         END,
         _header("http-status", F.substring_index("head", END, 1)),
-        F.concat_ws(END, F.transform(F.slice(F.split("head", END), 2, 10_000), lambda h: F.concat(F.lit("http-header: "), h))),
+        F.concat_ws(END, F.transform(F.slice(F.split("head", END), F.lit(2), F.length("head")), lambda h: F.concat(F.lit("http-header: "), h))),
         _header("source-payload-digest", F.col("payload_digest")),
         F.when(is_text, _header("conversion", F.col("conversion_id"))),
         _header("title", F.trim(F.regexp_replace(F.regexp_extract("body", TITLE, 1), r"[\x20\t\r\n]+", " "))),
