@@ -87,10 +87,16 @@ def stream_marker_cells(spark, d):
 SELECT {cell('lat','1e-2')} AS cell_lat, {cell('lng','1e-2')} AS cell_lng, CAST(sum(CASE WHEN {ACTIVE} THEN 1 ELSE 0 END) AS BIGINT) AS n
 FROM sightings WHERE {PLACED} GROUP BY 1,2"""))
 def stream_removals(spark, d):
-    gone = F.when(F.col("is_removed"), F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1)))
-    def counts(s):
-        return feeds.stream_removals(s.select("sighting_id", "lng", "lat", "created_at", F.explode(gone).alias("delta")), 0.01)
-    return feeds.cell_totals(live(spark, d, counts, "update", "removals"))
+    """A sighting's removal arrives in the slice after its own."""
+    events, source, out = tb.table(spark, d, "events"), new_path(spark, "changes"), new_path(spark, "removals")
+    parts = [spark.sql(tb.SIGHTINGS, events=rows).select("sighting_id", "lng", "lat", "created_at", "is_removed") for rows in slices(events)]
+    added = [p.drop("is_removed").withColumn("delta", F.lit(1)) for p in parts]
+    gone = [p.where("is_removed").drop("is_removed").withColumn("delta", F.lit(-1)) for p in parts]
+    for rows in [added[0], *[a.union(g) for a, g in zip(added[1:], gone, strict=False)], gone[-1]]:
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        changes = feeds.run_to_table(feeds.stream_removals(stream, 0.01), "update", out)
+    return feeds.cell_totals(changes)
 
 
 @query("stream_activity_sessions", S("""
