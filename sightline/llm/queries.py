@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import arrow_stream, audio, block_max, mixing, ownership, packing, pigeonring, site_quality, suffix_blocks, warc
+from sightline.llm import (
+    arrow_stream, audio, block_max, coordinate_lists, line_hash, merkle, mixing, ownership, packing, pigeonring, site_quality, suffix_blocks, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +217,107 @@ FROM scores QUALIFY rank <= 10"""
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return block_max.search(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
+MERKLE_SQL = """
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT doc_id, source, {leaf_text} AS leaf, CASE WHEN {parity} = 0 THEN {leaf_tampered} ELSE {leaf_text} END AS tampered FROM documents),
+leaves AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth FROM docs),
+lower_nodes(tree, level, nth, node, n) AS (
+  SELECT tree, 0, nth, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, nth // 3, sha256(string_agg(node, '' ORDER BY nth)), max((n + 2) // 3) FROM lower_nodes WHERE n > 1 GROUP BY tree, level, nth // 3),
+subroots AS MATERIALIZED (SELECT tree, node AS subroot, max(level) OVER () AS top FROM lower_nodes WHERE n = 1),
+upper_nodes(level, nth, node, n) AS (
+  SELECT 0, tree, subroot, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, nth // 3, sha256(string_agg(node, '' ORDER BY nth)), max((n + 2) // 3) FROM upper_nodes WHERE n > 1 GROUP BY level, nth // 3),
+powers AS (SELECT range AS level, pow(3, range)::BIGINT AS width FROM range(30)),
+steps AS (
+  SELECT l.tree, l.nth, p.level, coalesce(string_agg(s.node, '' ORDER BY s.nth) FILTER (WHERE s.nth < l.nth // width), '') AS before,
+         coalesce(string_agg(s.node, '' ORDER BY s.nth) FILTER (WHERE s.nth > l.nth // width), '') AS after
+  FROM leaves l, powers p JOIN lower_nodes s ON s.level = p.level AND s.n > 1
+  WHERE s.tree = l.tree AND s.nth // 3 = l.nth // width // 3 GROUP BY ALL),
+upper_steps AS (
+  SELECT r.tree, p.level, coalesce(string_agg(s.node, '' ORDER BY s.nth) FILTER (WHERE s.nth < r.tree // width), '') AS before,
+         coalesce(string_agg(s.node, '' ORDER BY s.nth) FILTER (WHERE s.nth > r.tree // width), '') AS after
+  FROM subroots r, powers p JOIN upper_nodes s ON s.level = p.level AND s.n > 1 WHERE s.nth // 3 = r.tree // width // 3 GROUP BY ALL),
+path AS MATERIALIZED (
+  SELECT tree, nth, row_number() OVER (PARTITION BY tree, nth ORDER BY part, level) AS step, before, after FROM (
+    SELECT tree, nth, 0 AS part, level, before, after FROM steps
+    UNION ALL SELECT l.tree, l.nth, 1, level, before, after FROM leaves l JOIN upper_steps u ON u.tree = l.tree)),
+fold(tree, nth, step, node) AS (
+  SELECT tree, nth, 0, tampered FROM leaves
+  UNION ALL
+  SELECT f.tree, f.nth, f.step + 1, sha256(p.before || f.node || p.after) FROM fold f JOIN path p ON p.tree = f.tree AND p.nth = f.nth AND p.step = f.step + 1),
+folded AS (SELECT tree, nth, arg_max(node, step) AS folded_root FROM fold GROUP BY tree, nth),
+proof AS (SELECT tree, nth, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY tree, nth)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (tree) JOIN folded USING (tree, nth) LEFT JOIN proof USING (tree, nth), (SELECT node AS root FROM upper_nodes WHERE n = 1)"""
+
+
+def _merkle_sql() -> str:
+    def digest(text: str) -> str:
+        values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    # the lowest bit of a CRC-32 over the digits, from its bitwise rule
+    step = "list_reduce(range(9), lambda c, i: CASE WHEN i = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b))"
+    digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)"
+    crc = f"list_reduce({digits}, lambda a, b: {step}, 4294967295::BIGINT)"
+    return MERKLE_SQL.format(leaf_text=digest("text"), leaf_tampered=digest("replace(text, chr(10), '')"), parity=f"(xor({crc}, 4294967295) % 2)")
+
+
+@query("op11_merkle_log", _merkle_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.row_digest(*columns, F.col("text"))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, merkle.row_digest(*columns, F.replace("text", F.lit("\n"), F.lit("")))).otherwise(leaf)
+    rows = docs.select("doc_id", "source", leaf.alias("leaf"), tampered.alias("tampered"))
+    proofs = merkle.build(rows, F.col("leaf"), ["source"], ["doc_id"], [F.col("doc_id"), F.col("tampered")]).proofs()
+    folded = merkle.folded(F.col("carry.tampered"), F.col("path"))
+    out = proofs.select("carry.doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(F.array_join("path", ""), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+NEGATIVES_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5"""
+
+
+@query("op12_coordinate_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return coordinate_lists.hard_negatives(read(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+LINES_SQL = """
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS MATERIALIZED (SELECT row, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS nth FROM docs),
+keyed AS MATERIALIZED (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+firsts AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key)
+SELECT any_value(k.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM (SELECT keyed.*, coalesce(coalesce(doc_id, 9223372036854775807) > coalesce(first, 9223372036854775807), false) AS dropped FROM keyed LEFT JOIN firsts USING (key)) k GROUP BY row"""
+
+
+@query("op13_line_hash", LINES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_hash.drop_repeated_lines(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
