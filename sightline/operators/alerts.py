@@ -95,6 +95,12 @@ def alerts_new(alerts: DataFrame, notifications: DataFrame) -> DataFrame:
     return alerts.join(known, ["title", "description"], "left_anti")
 
 
+def once_per_day(alerts: DataFrame, notifications: DataFrame, by: str = "title") -> DataFrame:
+    """Alerts whose ``by`` has no active notification of the same day; both have ``raised_at``."""
+    days = _active_notifications(notifications).select(by, F.to_date("raised_at").alias("_day")).distinct()
+    return alerts.withColumn("_day", F.to_date("raised_at")).join(days, [by, "_day"], "left_anti").drop("_day")
+
+
 def alerts_open(notifications: DataFrame, completed: DataFrame) -> DataFrame:
     """Notifications that were not completed."""
     return notifications.join(completed.select("id"), "id", "left_anti")

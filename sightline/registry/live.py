@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sightline.functions.risk import risk_is_high
 from sightline.operators import images
 from sightline.operators.updates import apply_analysis
 from sightline.registry.base import S, query, rounded
@@ -45,14 +46,35 @@ def stream_new_sightings(spark, d):
     return rounded(out.select("sighting_id", "predicted_species", "lng", "llm_status"), "lng")
 
 
-@query("stream_status", S("""
-SELECT sighting_id, CASE WHEN sighting_id % 8 = 0 THEN 'failed' WHEN sighting_id % 4 = 0 THEN 'completed' ELSE llm_status END AS llm_status FROM sightings"""))
+@query("stream_status", S(f"""
+SELECT sighting_id, CASE WHEN sighting_id % 8 = 0 THEN 'failed' WHEN sighting_id % 4 = 0 THEN 'completed' ELSE llm_status END AS llm_status,
+ CASE WHEN sighting_id % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS changes, CASE WHEN sighting_id % 4 = 0 AND sighting_id % 8 <> 0 THEN 1 ELSE 0 END::BIGINT AS done_events FROM sightings"""))
 def stream_status(spark, d):
-    def results(s):
-        return feeds.stream_status(s.where("sighting_id % 4 = 0").select(
-            "sighting_id", F.when(F.col("sighting_id") % 8 == 0, "failed").otherwise("completed").alias("status"), F.lit("Low").alias("risk_level"),
-            F.col("created_at").alias("ts")))
-    return apply_analysis(tb.sightings(spark, d), live(spark, d, results, "append", "status"), "ts").select("sighting_id", "llm_status")
+    """Results come with their sighting; in the next slice some come again, and some older ones say the opposite."""
+    sightings, source, out = tb.sightings(spark, d), new_path(spark, "results"), new_path(spark, "status")
+    status, other = [F.when((F.col("sighting_id") % 8 == 0) == same, "failed").otherwise("completed") for same in (True, False)]
+
+    def results(rows, which, hours):
+        return rows.select("sighting_id", which.alias("status"), F.lit("Low").alias("risk_level"), (F.col("created_at") + F.make_dt_interval(F.lit(0), F.lit(hours))).alias("ts"))
+
+    parts = [spark.sql(tb.SIGHTINGS, events=rows).where("sighting_id % 4 = 0") for rows in slices(tb.table(spark, d, "events"))]
+    own = [results(p, status, 0) for p in parts]
+    again = [results(p.where("sighting_id % 3 = 0"), status, 2).union(results(p.where("sighting_id % 5 = 0"), other, -1)) for p in parts]
+    for rows in [own[0], *[a.union(b) for a, b in zip(own[1:], again)], again[-1]]:
+        rows.write.mode("append").parquet(source)
+        changes = feeds.run_to_table(feeds.stream_status(spark.readStream.schema(rows.schema).parquet(source)), "append", out)
+    seen = changes.groupBy("sighting_id").agg(F.count(F.lit(1)).alias("changes"), F.count_if(F.col("event") == feeds.DONE).alias("done_events"))
+    now = apply_analysis(sightings, changes, "ts").select("sighting_id", "llm_status")
+    return now.join(seen, "sighting_id", "left").fillna(0, ["changes", "done_events"])
+
+
+@query("stream_daily_alerts", S(f"""SELECT predicted_species AS type, strftime(created_at,'%Y-%m-%d') AS day, arg_min(sighting_id, (created_at, sighting_id)) AS alert_id
+FROM sightings WHERE {HIGH} AND predicted_species IS NOT NULL GROUP BY 1,2"""))
+def stream_daily_alerts(spark, d):
+    def daily(s):
+        high = s.where(risk_is_high(F.col("risk_level")))
+        return feeds.stream_daily_alerts(high.select(F.col("predicted_species").alias("type"), F.col("sighting_id").alias("alert_id"), F.col("created_at").alias("raised_at"), F.lit(False).alias("dismissed")))
+    return live(spark, d, daily, "append", "daily").select("type", "day", "alert_id")
 
 
 @query("stream_live_counts", S(f"SELECT strftime(created_at,'%Y-%m-%d') AS day, {SPECIES} AS species, count(*) AS n FROM sightings WHERE {ACTIVE} GROUP BY 1,2"))

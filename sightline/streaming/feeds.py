@@ -7,13 +7,16 @@ the number of cells, never by the number of rows seen.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sightline.functions.geo import grid_cell
 from sightline.functions.risk import risk_is_high
-from sightline.operators.alerts import alert_rows, alerts_new
+from sightline.operators.alerts import alert_rows, alerts_new, once_per_day
 from sightline.operators.predicates import has_location, not_removed
 from sightline.operators.spatial import newest_first, species_or
 from sightline.operators.updates import new_sightings
@@ -25,9 +28,97 @@ def stream_new_sightings(src: DataFrame, late: str = "1 hour") -> DataFrame:
     return new_sightings(src.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["sighting_id"]))
 
 
-def stream_status(results: DataFrame) -> DataFrame:
-    """Status changes (sighting_id, status, risk_level, ts); later ones win in the latest table."""
-    return results.where(F.col("status").isin("completed", "failed")).select("sighting_id", "status", "risk_level", "ts")
+#: What ends the analysis of a sighting, and the event that a completed one gives.
+FINAL = ["completed", "failed"]
+DONE = "analysis_done"
+
+
+def _last_status(keep_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Keeps the last result of a sighting, by time, then status and risk; a change comes out when it moves on."""
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen = [(part["arrived"].max(), max(zip(part["at"].tolist(), part["status"], part["risk_level"]), key=_as_order)) for part in rows]
+        arrived, found = int(max(a for a, _ in seen)), max((x for _, x in seen), key=_as_order)
+        known = state.getOption
+        if known is not None and _as_order(found) <= _as_order(known):
+            return  # late, or said before
+        state.update(found)
+        state.setTimeoutTimestamp(arrived + keep_ms)
+        at, status, risk = found
+        if known is None or (known[1], known[2]) != (status, risk):
+            event = DONE if status == "completed" and (known is None or known[1] != "completed") else None
+            yield pd.DataFrame({"sighting_id": [key[0]], "status": [status], "risk_level": [risk], "at": [at], "event": [event]})
+
+    return step
+
+
+def _arriving(rows: DataFrame) -> DataFrame:
+    """Rows with the time of their batch, which drives the expiry of state, so that no row is late."""
+    return rows.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", "1 hour").withColumn("arrived", F.unix_millis("arrived_at"))
+
+
+def _as_order(result: tuple) -> tuple:
+    """NULLs first."""
+    return tuple((x is not None, x) for x in result)
+
+
+def stream_status(results: DataFrame, keep_days: int = 30) -> DataFrame:
+    """Changes of status (sighting_id, status, risk_level, ts, event) from results (sighting_id, status, risk_level, ts).
+
+    The state holds the last result per sighting and forgets it ``keep_days`` after its last change. Repeated results and
+    results that are older than the known one change nothing; of several in one batch the last counts. A sighting that
+    becomes completed gives one ``analysis_done`` event.
+    """
+    final = results.where(F.col("sighting_id").isNotNull() & F.col("status").isin(*FINAL))
+    rows = final.select(F.col("sighting_id").cast("long").alias("sighting_id"), F.unix_micros("ts").alias("at"), "status", "risk_level")
+    # a time that is missing is before all others
+    changes = _arriving(rows.withColumn("at", F.coalesce("at", F.lit(-(1 << 62))))).groupBy("sighting_id").applyInPandasWithState(
+        _last_status(keep_days * 86_400_000), "sighting_id long, status string, risk_level string, at long, event string",
+        "at long, status string, risk_level string", "append", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("sighting_id", "status", "risk_level", F.when(F.col("at") > -(1 << 62), F.timestamp_micros("at")).alias("ts"), "event")
+
+
+def _once_per_day(keep_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Keeps the time of the alert that stands for one type and day, until it is dismissed."""
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, gone, arrived = None, None, 0
+        for part in rows:
+            arrived = max(arrived, int(part["arrived"].max()))
+            for r in part.itertuples(index=False):
+                if r.dismissed:
+                    gone = r.at if gone is None else max(gone, r.at)
+                elif first is None or (r.at, r.alert_id) < (first.at, first.alert_id):
+                    first = r
+        standing = state.getOption
+        if first is not None and standing is None:
+            yield pd.DataFrame({"type": [key[0]], "day": [key[1]], "alert_id": [first.alert_id], "at": [first.at]})
+            standing = (int(first.at),)
+        if standing is not None and gone is not None and gone >= standing[0]:
+            state.remove()
+        elif standing is not None:
+            state.update(standing)
+            state.setTimeoutTimestamp(arrived + keep_ms)
+
+    return step
+
+
+def stream_daily_alerts(alerts: DataFrame, keep_days: int = 2) -> DataFrame:
+    """First alert of each type and day: (type, day, alert_id, raised_at) from (type, alert_id, raised_at, dismissed).
+
+    A row with ``dismissed`` takes back the alert that stands for its type and day, so that the next one is raised again.
+    The state holds one time per type and day for ``keep_days``. Rows without a type or time are left out.
+    """
+    rows = alerts.where(F.col("type").isNotNull() & F.col("raised_at").isNotNull()).select(
+        "type", F.date_format("raised_at", "yyyy-MM-dd").alias("day"), F.col("alert_id").cast("long").alias("alert_id"),
+        F.unix_micros("raised_at").alias("at"), F.coalesce("dismissed", F.lit(False)).alias("dismissed"))
+    raised = _arriving(rows).groupBy("type", "day").applyInPandasWithState(
+        _once_per_day(keep_days * 86_400_000), "type string, day string, alert_id long, at long", "at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return raised.select("type", "day", "alert_id", F.timestamp_micros("at").alias("raised_at"))
 
 
 def stream_live_counts(src: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -141,7 +232,7 @@ def latest(changes: DataFrame, keys: list[str], order: str = "batch") -> DataFra
 
 
 def stream_alerts(src: DataFrame, store: str, notifications: str, cell: float = 0.01, min_n: int = 3, days: int = 7) -> None:
-    """Raise alerts that no active notification already states, batch by batch; a later run on the same folders goes on.
+    """Raise alerts that no active notification already states, each title once a day; a later run on the same folders goes on.
 
     Running totals are kept per cell and hour, and per cell alone for hours older than ``days``. A batch reads the
     totals of the one before and writes its own in the other of two places, so a retried batch finds what it needs. What
@@ -152,11 +243,9 @@ def stream_alerts(src: DataFrame, store: str, notifications: str, cell: float =
     part_schema = "cell_lat long, cell_lng long, hour timestamp, n long, high long"
     old = F.lit("1970-01-01 00:00:00").cast("timestamp")
 
-    def read(path: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except AnalysisException:  # nothing was written yet
-            return spark.createDataFrame([], schema)
+    def read(path: str, schema: str, batch: int) -> DataFrame:
+        """What the batches before have written; every batch writes, so only the first finds nothing."""
+        return spark.read.schema(schema).parquet(path) if batch else spark.createDataFrame([], schema)
 
     def handle(rows: DataFrame, batch: int) -> None:
         parts = (
@@ -164,7 +253,7 @@ def stream_alerts(src: DataFrame, store: str, notifications: str, cell: float =
             .groupBy(*_cell_columns(cell), F.date_trunc("hour", "created_at").alias("hour"))
             .agg(F.count(F.lit(1)).alias("n"), F.count_if(risk_is_high(F.col("risk_level"))).alias("high"))
         )
-        before = read(f"{store}/slot={(batch - 1) % 2}", part_schema) if batch else spark.createDataFrame([], part_schema)
+        before = read(f"{store}/slot={(batch - 1) % 2}", part_schema, batch)
         both = cut(before.unionByName(parts))
         as_of = both.agg(F.max("hour") + F.expr("INTERVAL 1 HOUR")).scalar()
         recent = F.col("hour") > as_of - F.make_dt_interval(F.lit(days))
@@ -180,8 +269,8 @@ def stream_alerts(src: DataFrame, store: str, notifications: str, cell: float =
         ).withColumn("hotspots", cells.agg(F.count_if(F.col("n") >= min_n)).scalar())
         sums.select(F.inline(alert_rows()), "raised_at").write.mode("overwrite").parquet(f"{store}-current/batch={batch}")
         raised = spark.read.parquet(f"{store}-current/batch={batch}").withColumn("dismissed", F.lit(False))
-        earlier = read(notifications, note_schema + ", batch long").where(F.col("batch") < batch)
-        new = alerts_new(raised, earlier)
+        earlier = read(notifications, note_schema + ", batch long", batch).where(F.col("batch") < batch)
+        new = once_per_day(alerts_new(raised, earlier), earlier)
         new.select("level", "title", "description", "action", "dismissed", "raised_at").write.mode("overwrite").parquet(f"{notifications}/batch={batch}")
 
     query = (
