@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sightline.functions import text as t
 from sightline.functions.arrays import bind
+from sightline.operators.containment import contained
 from sightline.operators.predicates import looks_like_species
+from sightline.session import cut
 
 NARRATIVE = ["where_found", "identification", "treatment", "poisonous"]
 SINGLE = ["family", "origin"]
@@ -58,43 +60,49 @@ def reject_report(pages: DataFrame, parsed: DataFrame | None = None) -> DataFram
 
 def first_non_null(records: DataFrame, columns: list[str], by: str = "scientific_name", order: str = "page_hint") -> DataFrame:
     """First non-empty value of each column in page order, as partial aggregates."""
-    def value(c: str) -> Column:
-        return F.nullif(F.col(c), F.lit(""))
-    return records.groupBy(by).agg(*[F.min_by(value(c), F.when(value(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+    return records.groupBy(by).agg(*[_first_value(c, order).alias(c) for c in columns])
+
+
+def _first_value(c: str, order: str) -> Column:
+    value = F.nullif(F.col(c), F.lit(""))
+    return F.min_by(value, F.when(value.isNotNull(), F.col(order)))
+
+
+def narrative_parts(records: DataFrame) -> DataFrame:
+    """(scientific_name, field, page, part): what the narrative fields of a species are joined from, as rows.
+
+    Of equal texts the one of the first page stays; a text that an earlier one of the same field contains goes.
+    """
+    key = "scientific_name"
+    parts = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("part")) for c in NARRATIVE])
+    distinct = (
+        records.select(key, F.col("page_hint").alias("page"), F.inline(parts)).where(F.coalesce("part", F.lit("")) != "")
+        .groupBy(key, "field", "part").agg(F.min("page").alias("page"))
+    )
+    held = cut(distinct.withColumn("id", F.monotonically_increasing_id()))
+    inner = contained(held, [key, "field"], F.struct("page", "part"))
+    return held.join(inner, "id", "left_anti").select(key, "field", "page", "part")
 
 
 def merge_species(records: DataFrame) -> DataFrame:
     """One record per species from its pages, in page order. ``records`` is read several times.
 
-    Equal texts and equal names of a species fall together before anything is gathered, so many
-    copies of a page cost one row; only the distinct parts of the final record meet in one place.
+    Equal texts and equal names of a species fall together, and contained texts go, while they are rows; only what the
+    final record holds meets in one place.
     """
     key, page = "scientific_name", "page_hint"
-    base = first_non_null(records, SINGLE)
-    pages = records.groupBy(key).agg(F.min(page).alias(page))
-
+    base = records.groupBy(key).agg(*[_first_value(c, page).alias(c) for c in SINGLE], F.min(page).alias(page))
     spellings = records.select(key, page, F.posexplode("common_names").alias("at", "name"))
     names = (
         spellings.groupBy(key, F.lower("name").alias("lc")).agg(
             F.min(F.struct(F.col(page).alias("page"), F.col("at"))).alias("first"), F.min_by("name", F.struct(page, "at")).alias("name"))
         .groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]).alias("common_names"))
     )
-
-    parts = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("part")) for c in NARRATIVE])
-    distinct_parts = (
-        records.select(key, page, F.inline(parts)).where(F.coalesce("part", F.lit("")) != "")
-        .groupBy(key, "field", "part").agg(F.min(page).alias("page"))
-    )
-    folded = distinct_parts.groupBy(key, "field").agg(F.sort_array(F.collect_list(F.struct("page", "part"))).alias("parts")).select(
-        key, "field",
-        F.aggregate(
-            "parts", F.lit(""),
-            lambda acc, x: F.when(acc == "", x["part"]).when(F.contains(acc, x["part"]), acc).otherwise(F.concat(acc, F.lit("\n\n"), x["part"])),
-        ).alias("merged"),
-    )
-    narrative = folded.groupBy(key).agg(*[F.max(F.when(F.col("field") == c, F.col("merged"))).alias(c) for c in NARRATIVE])
+    own = F.sort_array(F.collect_list(F.struct("page", "part")))
+    joined = narrative_parts(records).groupBy(key, "field").agg(F.array_join(F.transform(own, lambda x: x["part"]), "\n\n").alias("merged"))
+    narrative = joined.groupBy(key).agg(*[F.max(F.when(F.col("field") == c, F.col("merged"))).alias(c) for c in NARRATIVE])
     return (
-        base.join(pages, key).join(names, key, "left").join(narrative, key, "left")
+        base.join(names, key, "left").join(narrative, key, "left")
         .select(key, F.coalesce("common_names", F.array().cast("array<string>")).alias("common_names"), *SINGLE, *NARRATIVE, page)
     )
 
