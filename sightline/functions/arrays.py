@@ -17,9 +17,14 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def distinct_ignore_case(names: Column) -> Column:
-    """Keep the first spelling of each name, in order."""
-    return bind(names, lambda own: bind(F.transform(own, F.lower), lambda lowered: F.filter(
-        own, lambda n, i: F.array_position(lowered, F.lower(n)) == i + 1)))
+    """Keep the first spelling of each name, in order. Spellings meet by sorting, so long lists stay cheap."""
+    spelled = F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n, i: F.struct(F.lower(n).alias("key"), i.alias("at"), n.alias("name")))
+
+    def firsts(ordered: Column) -> Column:
+        kept = F.filter(ordered, lambda x, k: (k == 0) | (F.get(ordered, k - 1)["key"] != x["key"]))
+        return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["at"], x["name"]))), lambda x: x["name"])
+
+    return bind(F.array_sort(spelled), firsts)
 
 
 def ordered_name_union(first: Column, second: Column) -> Column:
@@ -54,16 +59,17 @@ CHANNEL_MEAN = [0.485, 0.456, 0.406]
 CHANNEL_STD = [0.229, 0.224, 0.225]
 
 
-def normalize_channels(rgb: Column) -> Column:
-    mean = F.array(*[F.lit(m) for m in CHANNEL_MEAN])
-    std = F.array(*[F.lit(s) for s in CHANNEL_STD])
-    return F.transform(rgb, lambda x, i: (x - F.get(mean, i)) / F.get(std, i))
+def _channel(values: list[float], i: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), i % len(values))
+
+
+def normalize_channels(pixels: Column) -> Column:
+    """Pixels as red, green, blue, red, ...: each number less its channel's mean, by its deviation."""
+    return F.transform(pixels, lambda x, i: (x - _channel(CHANNEL_MEAN, i)) / _channel(CHANNEL_STD, i))
 
 
-def denormalize_channels(rgb: Column) -> Column:
-    mean = F.array(*[F.lit(m) for m in CHANNEL_MEAN])
-    std = F.array(*[F.lit(s) for s in CHANNEL_STD])
-    return F.transform(rgb, lambda x, i: x * F.get(std, i) + F.get(mean, i))
+def denormalize_channels(pixels: Column) -> Column:
+    return F.transform(pixels, lambda x, i: x * _channel(CHANNEL_STD, i) + _channel(CHANNEL_MEAN, i))
 
 
 def top_k(values: Column, k: int) -> Column:

@@ -31,10 +31,10 @@ def pieces(text: str, least: int, size: int) -> np.ndarray:
     wide, found = least - size + 1, []
     for lo in range(0, max(0, len(letters) - least + 1), _BLOCK):  # a stretch belongs to the block it starts in
         part = letters[lo:lo + _BLOCK + least - 1].astype(np.uint64)
-        h, have, power = part + np.uint64(1), 1, _BASE
+        h, have, power = part + np.uint64(1), 1, int(_BASE)
         while have < size:  # sizes are powers of two: two halves make a piece
-            h = h[:-have] * power + h[have:]
-            have, power = have * 2, power * power
+            h = h[:-have] * np.uint64(power) + h[have:]
+            have, power = have * 2, power * power % (1 << 64)
         h = (h ^ (h >> np.uint64(29))) * _BASE
         h ^= h >> np.uint64(32)
         # smallest of every ``wide`` neighbours, doubling the reach

@@ -286,19 +286,20 @@ def training_table(spark, d):
 
 # ---- vectors and scores --------------------------------------------------------------------
 
-LOGITS = "list_transform(embedding[1:10], lambda x: x::DOUBLE)"
+CLASSES = 64
+LOGITS = "list_transform(embedding, lambda x: x::DOUBLE)"
 
 
 def scored(spark, d):
-    """Vectors as classifier outputs: the first ten numbers are logits, the label is the truth."""
+    """Vectors as classifier outputs: their numbers are logits of so many classes, the label is the truth."""
     e = tb.table(spark, d, "embeddings")
-    return e.select("vec_id", "label", (F.col("vec_id") % 5).alias("epoch"), F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
+    return e.select("vec_id", "label", (F.col("vec_id") % 5).alias("epoch"), F.col("embedding").cast("array<double>").alias("logits"))
 
 
 SCORED = f"WITH sc AS (SELECT vec_id, label, vec_id % 5 AS epoch, {LOGITS} AS x FROM embeddings), sx AS (SELECT *, list_max(x) AS m, list_sum(list_transform(x, lambda v: exp(v-list_max(x)))) AS z FROM sc)"
 
 
-@query("softmax", f"{SCORED} SELECT vec_id, CAST(i AS INTEGER) AS i, round(exp(x[i+1]-m)/z,6) AS p FROM sx, range(10) AS r(i)")
+@query("softmax", f"{SCORED} SELECT vec_id, CAST(i AS INTEGER) AS i, round(exp(x[i+1]-m)/z,6) AS p FROM sx, range({CLASSES}) AS r(i)")
 def softmax(spark, d):
     return rounded(scored(spark, d).select("vec_id", F.posexplode(ar.softmax(F.col("logits"))).alias("i", "p")), "p")
 
@@ -310,9 +311,9 @@ def argmax(spark, d):
 
 @query("top_predictions", f"""{SCORED}
 SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY x[i+1] DESC, i)-1 AS INTEGER) AS rank, 'class_' || i AS name, round(exp(x[i+1]-m)/z,6) AS confidence
-FROM sx, range(10) AS r(i) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x[i+1] DESC, i) <= 5""")
+FROM sx, range({CLASSES}) AS r(i) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY x[i+1] DESC, i) <= 5""")
 def top_predictions(spark, d):
-    names = F.array(*[F.lit(f"class_{i}") for i in range(10)])
+    names = F.array(*[F.lit(f"class_{i}") for i in range(CLASSES)])
     top = scoring.top_predictions(scored(spark, d), names, 5).select("vec_id", F.posexplode("top").alias("rank", "t"))
     return rounded(top.select("vec_id", "rank", "t.name", F.col("t.confidence").alias("confidence")), "confidence")
 
@@ -324,13 +325,13 @@ def classification_metrics(spark, d):
     return rounded(scoring.classification_metrics(scored(spark, d)), "accuracy", "loss")
 
 
-@query("normalize_channels", f"""WITH sc AS (SELECT vec_id, {LOGITS} AS x FROM embeddings)
-SELECT vec_id, round((x[1]-0.485::DOUBLE)/0.229::DOUBLE,6) AS r, round((x[2]-0.456::DOUBLE)/0.224::DOUBLE,6) AS g, round((x[3]-0.406::DOUBLE)/0.225::DOUBLE,6) AS b,
- round(x[1],6) AS back FROM sc""")
+@query("normalize_channels", f"""WITH sc AS (SELECT vec_id, {LOGITS} AS x FROM embeddings), px AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM sc)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round((v - CASE i % 3 WHEN 0 THEN 0.485::DOUBLE WHEN 1 THEN 0.456 ELSE 0.406 END) / CASE i % 3 WHEN 0 THEN 0.229::DOUBLE WHEN 1 THEN 0.224 ELSE 0.225 END, 6) AS normal,
+ round(v, 6) AS back FROM px""")
 def normalize_channels(spark, d):
-    rgb = scored(spark, d).select("vec_id", ar.normalize_channels(F.slice("logits", 1, 3)).alias("v"))
-    out = rgb.select("vec_id", F.col("v")[0].alias("r"), F.col("v")[1].alias("g"), F.col("v")[2].alias("b"), ar.denormalize_channels(F.col("v"))[0].alias("back"))
-    return rounded(out, "r", "g", "b", "back")
+    normal = scored(spark, d).select("vec_id", ar.normalize_channels(F.col("logits")).alias("v"))
+    both = normal.select("vec_id", F.posexplode(F.arrays_zip(F.col("v").alias("normal"), ar.denormalize_channels(F.col("v")).alias("back"))).alias("i", "x"))
+    return rounded(both.select("vec_id", "i", "x.*"), "normal", "back")
 
 
 CENTROIDS = """, pos AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1,65) AS r(i) GROUP BY 1,2)

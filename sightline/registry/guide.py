@@ -90,50 +90,54 @@ def safe_extract(spark, d):
     return docs(spark, d).select("doc_id", tx.safe_extract(F.concat("text", F.lit(" (12) 7 x9"))).alias("text"))
 
 
-@query("safe_file_name", "SELECT doc_id, regexp_replace(substr(text,1,40) || source, '[^a-zA-Z0-9._-]', '_', 'g') AS name FROM documents")
+@query("safe_file_name", "SELECT doc_id, regexp_replace(text || source, '[^a-zA-Z0-9._-]', '_', 'g') AS name FROM documents")
 def safe_file_name(spark, d):
-    return docs(spark, d).select("doc_id", tx.safe_file_name(F.concat(F.substring("text", 1, 40), F.col("source"))).alias("name"))
+    return docs(spark, d).select("doc_id", tx.safe_file_name(F.concat("text", "source")).alias("name"))
 
 
 WORDS = "string_split(replace(text, chr(10), ' '), ' ')"
-NAME2 = f"array_to_string({WORDS}[1:2], ' ')"
+PAIRS = f"(SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS name FROM (SELECT doc_id, {WORDS} AS w FROM documents))"
 
 
-def first_words():
-    return F.array_join(F.slice(F.split(F.translate("text", "\n", " "), " "), 1, 2), " ")
+def words():
+    return F.split(F.translate("text", "\n", " "), " ")
 
 
-@query("looks_like_binomial", f"""SELECT doc_id, regexp_matches({NAME2}, '^\\s*\\p{{Lu}}[^\\s\\p{{Lu}}]*\\p{{Ll}}[^\\s\\p{{Lu}}]*\\s+[a-z-]{{3,}}\\s*$')
- AND regexp_extract({NAME2}, '(\\S+)\\s*$', 1) NOT IN ({', '.join(f"'{w}'" for w in NOT_EPITHETS)}) AS hit FROM documents""")
+def word_pairs(spark, d):
+    """Every word of every document with the next one."""
+    first, second = F.slice(words(), 1, F.greatest(F.size(words()) - 1, F.lit(0))), F.slice(words(), 2, F.size(words()))
+    return docs(spark, d).select("doc_id", F.explode(F.zip_with(first, second, lambda a, b: F.concat(a, F.lit(" "), b))).alias("name"))
+
+
+@query("looks_like_binomial", f"""SELECT doc_id, count(*) AS names, count(*) FILTER (WHERE regexp_matches(name, '^\\s*\\p{{Lu}}[^\\s\\p{{Lu}}]*\\p{{Ll}}[^\\s\\p{{Lu}}]*\\s+[a-z-]{{3,}}\\s*$')
+ AND regexp_extract(name, '(\\S+)\\s*$', 1) NOT IN ({', '.join(f"'{w}'" for w in NOT_EPITHETS)})) AS hits FROM {PAIRS} GROUP BY doc_id""")
 def binomial(spark, d):
-    return docs(spark, d).select("doc_id", looks_like_binomial(first_words()).alias("hit"))
+    return word_pairs(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("names"), F.count_if(looks_like_binomial(F.col("name"))).alias("hits"))
 
 
-@query("looks_like_species", f"""SELECT doc_id, regexp_matches({NAME2}, '^\\s*\\p{{Lu}}\\S*\\s+\\p{{Ll}}') AND NOT regexp_matches(lower({NAME2}), '{'|'.join(NOT_SPECIES_PHRASES)}') AS hit FROM documents""")
+@query("looks_like_species", f"""SELECT doc_id, count(*) FILTER (WHERE regexp_matches(name, '^\\s*\\p{{Lu}}\\S*\\s+\\p{{Ll}}') AND NOT regexp_matches(lower(name), '{'|'.join(NOT_SPECIES_PHRASES)}')) AS hits FROM {PAIRS} GROUP BY doc_id""")
 def species_like(spark, d):
-    return docs(spark, d).select("doc_id", looks_like_species(first_words()).alias("hit"))
+    return word_pairs(spark, d).groupBy("doc_id").agg(F.count_if(looks_like_species(F.col("name"))).alias("hits"))
 
 
-@query("genus", f"SELECT doc_id, regexp_extract({NAME2}, '^([^_ ]*)', 1) AS genus FROM documents")
+@query("genus", f"SELECT regexp_extract(name, '^([^_ ]*)', 1) AS genus, count(*) AS n FROM {PAIRS} GROUP BY 1")
 def genus(spark, d):
-    return docs(spark, d).select("doc_id", tx.genus(first_words()).alias("genus"))
+    return word_pairs(spark, d).groupBy(tx.genus(F.col("name")).alias("genus")).agg(F.count(F.lit(1)).alias("n"))
 
 
 UNIQ = "list_filter({a}, lambda x, i: list_position(list_transform({a}, lambda y: lower(y)), lower(x)) = i)"
 
 
-@query("ordered_name_union", f"""SELECT doc_id, array_to_string({UNIQ.format(a='w')}, '|') AS names FROM (
- SELECT doc_id, list_concat({WORDS}[1:12], list_transform({WORDS}[1:18], lambda v: lower(v))) AS w FROM documents)""")
+@query("ordered_name_union", f"""SELECT doc_id, string_agg(name, '|' ORDER BY first) AS names FROM (
+ SELECT doc_id, min(i) AS first, arg_min(word, i) AS name FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents))
+ GROUP BY doc_id, lower(word)) GROUP BY doc_id""")
 def ordered_name_union(spark, d):
-    words = F.split(F.translate("text", "\n", " "), " ")
-    second = F.transform(F.slice(words, 1, 18), F.lower)
-    return docs(spark, d).select("doc_id", F.array_join(ar.ordered_name_union(F.slice(words, 1, 12), second), "|").alias("names"))
+    return docs(spark, d).select("doc_id", F.array_join(ar.ordered_name_union(words(), F.transform(words(), F.lower)), "|").alias("names"))
 
 
-@query("name_keys", f"SELECT doc_id, array_to_string(list_transform(list_filter({WORDS}[1:8], lambda x: x <> ''), lambda x: lower({strip_sql('x')})), '|') AS keys FROM documents")
+@query("name_keys", f"SELECT doc_id, array_to_string(list_transform(list_filter({WORDS}, lambda x: x <> ''), lambda x: lower({strip_sql('x')})), '|') AS keys FROM documents")
 def name_keys(spark, d):
-    words = F.slice(F.split(F.translate("text", "\n", " "), " "), 1, 8)
-    return docs(spark, d).select("doc_id", F.array_join(tx.name_keys(words), "|").alias("keys"))
+    return docs(spark, d).select("doc_id", F.array_join(tx.name_keys(words()), "|").alias("keys"))
 
 
 # ---- field-guide pages ---------------------------------------------------------------------
