@@ -2,7 +2,7 @@
 
 Points fall into cells of a square lattice over their group's bounding box. A pair of cells can
 be dropped when the most it could span is below a distance already reached by real points. The
-surviving cell pairs are split further until comparing their points is cheap.
+surviving cell pairs are split further until comparing the points of each is cheap.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from sightline.session import cut
 _START_DEPTH = 3
 _STEP = 2
 _LAST_DEPTH = 26
-_DIRECT_PAIRS = 2_000_000
+#: Distances that one pair of cells may take, or per point of the pair.
+_DIRECT_PAIRS = 1 << 16
 _PAIRS_PER_POINT = 16
 _SLACK = 1e-6
 
@@ -83,30 +84,39 @@ def _pair_up(cells: DataFrame, by: str, reached: DataFrame, parents: DataFrame |
     )
 
 
+def _spans(pairs: DataFrame, placed: DataFrame, by: str) -> DataFrame:
+    """Widest span between the points of the given cell pairs, per group."""
+    a = placed.select(by, F.col("cu").alias("cu_a"), F.col("cv").alias("cv_a"), F.col("lng").alias("lng_a"), F.col("lat").alias("lat_a"))
+    b = placed.select(by, F.col("cu").alias("cu_b"), F.col("cv").alias("cv_b"), F.col("lng").alias("lng_b"), F.col("lat").alias("lat_b"))
+    met = pairs.drop("n_a", "n_b").join(a, [by, "cu_a", "cv_a"]).join(b, [by, "cu_b", "cv_b"])
+    return met.groupBy(by).agg(F.max(haversine_km(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b"))).alias("span"))
+
+
 def farthest_pair(rows: DataFrame, by: str) -> DataFrame:
-    """(by, diameter_km) over rows with ``by``, ``lng`` and ``lat``."""
+    """(by, diameter_km) over rows with ``by``, ``lng`` and ``lat``.
+
+    Every pair of cells has its own budget: within it the points are measured, beyond it the cells are split, whatever
+    the rest of the work. What the measured pairs reach rules out more of the split ones.
+    """
     points = cut(rows.select(by, "lng", "lat").distinct())
     reached = cut(_extreme_span(points, by))
-    kept, parents = points.join(reached, by), None
-    depth = _START_DEPTH
-    enough = max(_DIRECT_PAIRS, _PAIRS_PER_POINT * points.count())
+    kept, parents, depth = points, None, _START_DEPTH
+    within = F.col("n_a") * F.col("n_b") <= F.greatest(F.lit(_DIRECT_PAIRS), _PAIRS_PER_POINT * (F.col("n_a") + F.col("n_b")))
     while True:
-        placed = kept.withColumns({
+        boxed = kept.join(reached.drop("reached"), by)
+        placed = boxed.withColumns({
             "cu": _cell(F.col("lat"), F.col("lat0"), F.col("lat1"), depth),
             "cv": _cell(F.col("lng"), F.col("lng0"), F.col("lng1"), depth),
-        })
+        }).select(by, "lng", "lat", "cu", "cv")
         pairs = cut(_pair_up(_cells(placed, by), by, reached, parents))
-        work = pairs.agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0] or 0
-        if work <= enough or depth >= _LAST_DEPTH:
-            break
-        live = pairs.selectExpr(f"`{by}`", "inline(array(struct(cu_a AS cu, cv_a AS cv), struct(cu_b AS cu, cv_b AS cv)))").distinct()
+        # below the last depth cells are smaller than any measurement
+        small = within if depth < _LAST_DEPTH else F.lit(True)
+        spans = _spans(pairs.where(small), placed, by)
+        reached = cut(reached.join(spans, by, "left").withColumn("reached", F.greatest("reached", F.coalesce("span", F.lit(0.0)))).drop("span"))
+        large = pairs.where(~small)
+        if large.isEmpty():
+            return reached.select(by, F.col("reached").alias("diameter_km"))
+        live = large.selectExpr(f"`{by}`", "inline(array(struct(cu_a AS cu, cv_a AS cv), struct(cu_b AS cu, cv_b AS cv)))").distinct()
         kept = cut(placed.join(live, [by, "cu", "cv"], "left_semi").drop("cu", "cv"))
-        parents = pairs
+        parents = large
         depth += _STEP
-    a = placed.select(by, F.col("cu").alias("cu_a"), F.col("cv").alias("cv_a"), F.col("lng").alias("lng_a"), F.col("lat").alias("lat_a"))
-    b = placed.select(by, F.col("cu").alias("cu_b"), F.col("cv").alias("cv_b"), F.col("lng").alias("lng_b"), F.col("lat").alias("lat_b"))
-    spans = (
-        pairs.drop("n_a", "n_b").join(a, [by, "cu_a", "cv_a"]).join(b, [by, "cu_b", "cv_b"])
-        .groupBy(by).agg(F.max(haversine_km(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b"))).alias("span"))
-    )
-    return reached.join(spans, by, "left").select(by, F.greatest(F.col("reached"), F.coalesce("span", F.lit(0.0))).alias("diameter_km"))

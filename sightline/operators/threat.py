@@ -26,8 +26,12 @@ def _newest_value(column: str | Column) -> Column:
 
 
 def species_stats(s: DataFrame) -> DataFrame:
-    """Per species of active sightings: counts, confidence, dates, centroid, diameter, newest facts."""
+    """Per species of active sightings: counts, confidence, dates, centroid, diameter, newest facts.
+
+    The scientific name is that of the newest sighting that has one, if the rows have such a column at all.
+    """
     rows = active(s)
+    name = _newest_value(F.nullif("scientific_name", F.lit(""))) if "scientific_name" in s.columns else F.lit(None).cast("string")
     at = has_location(F.col("lng"), F.col("lat"))
     stats = rows.groupBy(species_or("Unknown Species").alias("species")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -37,6 +41,7 @@ def species_stats(s: DataFrame) -> DataFrame:
         F.avg(F.when(at, F.col("lat"))).alias("avg_lat"), F.avg(F.when(at, F.col("lng"))).alias("avg_lng"),
         _newest_value("image_path").alias("image_path"),
         F.coalesce(_newest_value("risk_level"), F.lit("Unknown")).alias("risk_level"),
+        F.coalesce(name, F.lit("")).alias("scientific_name"),
     )
     return (
         stats.join(species_diameter(s), "species", "left")

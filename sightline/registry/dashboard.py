@@ -75,9 +75,11 @@ SELECT a.species, count(*) AS n, round(sum(coalesce(confidence,0))/count(*)*100,
  count(lng) AS locations, round(avg(lat),8) AS avg_lat, round(avg(lng),8) AS avg_lng,
  arg_max(image_path, created_at) FILTER (WHERE image_path IS NOT NULL) AS image_path,
  coalesce(arg_max(risk_level, created_at) FILTER (WHERE risk_level IS NOT NULL),'Unknown') AS risk_level,
+ coalesce(arg_max(replace(predicted_species,'_',' '), created_at) FILTER (WHERE sighting_id % 3 = 0 AND predicted_species <> ''),'') AS scientific_name,
  round(coalesce(any_value(s.d),0),6) AS diameter_km FROM a LEFT JOIN spans s USING (species) GROUP BY 1""")))
 def species_stats(spark, d):
-    out = threat.species_stats(rows(spark, d)).withColumns({"first_seen": stamp("first_seen"), "last_seen": stamp("last_seen")})
+    named = rows(spark, d).withColumn("scientific_name", F.when(F.col("sighting_id") % 3 == 0, F.replace("predicted_species", F.lit("_"), F.lit(" "))))
+    out = threat.species_stats(named).withColumns({"first_seen": stamp("first_seen"), "last_seen": stamp("last_seen")})
     return rounded(rounded(out, "avg_confidence", "diameter_km"), "avg_lat", "avg_lng", digits=8)
 
 
