@@ -7,12 +7,17 @@ optimizer broadcasts the knowledge side when its measured size allows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import text as t
 from sightline.functions.risk import action_required, confidence_level
+from sightline.operators.ordinals import dense_position
 from sightline.operators.predicates import normalise_prediction
+from sightline.operators.vectors import knn
+from sightline.session import cut
 
 # Keyword ladder of the legal categories, families known to invade, category texts.
 LEGAL_KEYWORDS = [
@@ -110,6 +115,37 @@ def species_fallback(df: DataFrame, kb: DataFrame, taxonomy: DataFrame | None =
     }).drop("_species", "_genus", "k1", "k2", "k3", "k4", "exact_name", "genus_name", "family_name", "own_family")
 
 
+def cascade(
+    df: DataFrame, kb: DataFrame, taxonomy: DataFrame | None = None, embed: Callable[[Column], Column] | None = None,
+    max_distance: float | None = None, name: str = "lookup_name",
+) -> DataFrame:
+    """Add ``generalisation_level``, ``used_species``, ``band_low``, ``band_high`` and ``disclaimer`` to each row.
+
+    A name is looked up as a species or common name, then by its genus, its family, and last by the nearest scientific
+    name within ``max_distance``, if ``embed`` gives the vector of a name. Every distinct name is resolved once, and
+    each step sees only what the steps before left open.
+    """
+    names = cut(df.select(F.col(name).alias("_name")).distinct().withColumn("_id", F.monotonically_increasing_id()))
+    found = species_lookup(names, kb, "_name")
+    known = F.col("match").isNotNull()
+    done = found.where(known).select(
+        "_name", F.lit("exact").alias("generalisation_level"), F.col("kb_name").alias("used_species"), F.lit(1.0).alias("band_low"), F.lit(1.0).alias("band_high"),
+        F.lit("Based on exact species match in database").alias("disclaimer"))
+    relatives = cut(species_fallback(found.where(~known).select("_name", "_id"), kb, taxonomy, "_name"))
+    if embed is not None:
+        species = cut(dense_position(kb.select("scientific_name").distinct(), [F.col("scientific_name")], "vec_id"))
+        open_ = relatives.where("generalisation_level = 'none'").select(F.col("_id").alias("query_id"), embed(F.col("_name")).alias("embedding"))
+        near = knn(open_, species.select("vec_id", embed(F.col("scientific_name")).alias("embedding")), 1, max_distance=max_distance)
+        near = near.join(species, "vec_id").select(F.col("query_id").alias("_id"), F.col("scientific_name").alias("near_name"))
+        text = F.concat(F.lit("This advisory is based on "), F.col("near_name"), F.lit(", the nearest known name to "), F.col("_name"))
+        similar = {"generalisation_level": "similar", "band_low": 0.3, "band_high": 0.5}  # as a relative of the family
+        relatives = relatives.join(near, "_id", "left").withColumns({
+            **{c: F.when(F.col("near_name").isNotNull(), v).otherwise(F.col(c)) for c, v in similar.items()},
+            "used_species": F.coalesce("near_name", "used_species"), "disclaimer": F.coalesce(text, "disclaimer")})
+    resolved = done.unionByName(relatives.select(*done.columns))
+    return df.join(resolved, F.col(name).eqNullSafe(F.col("_name")), "left").drop("_name")
+
+
 def kb_facts(kb: DataFrame, source: str = "field guide") -> DataFrame:
     """Per species: legal category, status and the cleaned texts of the advice."""
     def field(name: str) -> Column:

@@ -13,6 +13,7 @@ from sightline.functions.times import (
 )
 from sightline.operators.predicates import is_invasive_named, is_invasive_truthy, not_removed
 from sightline.operators.spatial import species_or
+from sightline.session import cut
 
 
 def period_counts(s: DataFrame) -> DataFrame:
@@ -107,28 +108,41 @@ def _newest() -> Column:
     return F.struct((-F.unix_micros("created_at")).alias("age"), "sighting_id")
 
 
-def _by_period(rows: DataFrame, period: str, extra: dict[str, Column] | None = None) -> DataFrame:
-    """Per period: n, further sums, and the species in order of their newest sighting.
+_SUMS = ["n", "high", "medium", "removed", "living"]
 
-    Species are counted per period first, so only one row per species and period is gathered.
-    """
+
+def _per_species(rows: DataFrame, period: str) -> DataFrame:
+    """Counts and the newest sighting of each period and species."""
     risk = level_of(F.col("risk_level"))
-    sums = {
-        "n": F.count(F.lit(1)),
-        "high": F.count_if(risk.contains("high")),
-        "medium": F.count_if(risk.contains("medium")),
-        "removed": F.count_if(~not_removed(F.col("is_removed"))),
-        "living": F.count_if(is_invasive_truthy(F.col("predicted_species")) & not_removed(F.col("is_removed"))),
-    }
-    per_species = rows.groupBy(
-        period_key(F.col("created_at"), period).alias("period"), species_or("Unknown").alias("species")
-    ).agg(F.min(_newest()).alias("newest"), *[c.alias(k) for k, c in sums.items()])
-    return per_species.groupBy("period").agg(
-        *[F.sum(k).alias(k) for k in sums],
-        F.transform(F.sort_array(F.collect_list(F.struct("newest", "species"))), lambda x: x["species"]).alias("species"),
+    return rows.groupBy(period_key(F.col("created_at"), period).alias("period"), species_or("Unknown").alias("species")).agg(
+        F.min(_newest()).alias("newest"), F.count(F.lit(1)).alias("n"), F.count_if(risk.contains("high")).alias("high"),
+        F.count_if(risk.contains("medium")).alias("medium"), F.count_if(~not_removed(F.col("is_removed"))).alias("removed"),
+        F.count_if(is_invasive_truthy(F.col("predicted_species")) & not_removed(F.col("is_removed"))).alias("living"),
     )
 
 
+def _periods(per_species: DataFrame) -> DataFrame:
+    """Sums of each period, and its number of species."""
+    return per_species.groupBy("period").agg(*[F.sum(k).alias(k) for k in _SUMS], F.count(F.lit(1)).alias("n_species"))
+
+
+def _latest(rows: DataFrame, period: str, n: int, k: int | None = None) -> DataFrame:
+    """Sums of the latest ``n`` periods and their species, newest sighting first.
+
+    The periods are chosen by their counts; species are gathered for these ``n`` only, and of more than ``k`` species each
+    task passes on its first ``k``.
+    """
+    per_species = cut(_per_species(rows, period))
+    chosen = cut(_periods(per_species).orderBy(F.desc("period")).limit(n))
+    same = F.col("s.period").eqNullSafe(F.col("p.period"))
+    named = per_species.alias("s").join(chosen.select("period").alias("p"), same, "left_semi")
+    if k is not None:
+        order = Window.partitionBy("period").orderBy("newest", "species")
+        named = named.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k)
+    lists = named.groupBy("period").agg(F.transform(F.sort_array(F.collect_list(F.struct("newest", "species"))), lambda x: x["species"]).alias("species"))
+    return chosen.alias("p").join(lists.alias("s"), same).select("p.*", "s.species").orderBy(F.desc("period"))
+
+
 def _first_species(k: int) -> Column:
     return F.array_join(F.slice("species", 1, k), ", ")
 
@@ -145,7 +159,7 @@ def timeline_weekly(s: DataFrame, n: int = 6) -> DataFrame:
         F.lit("Update control strategy"),
     ))
     return (
-        _by_period(_invasive(s), "weekly").orderBy(F.desc("period")).limit(n)
+        _latest(_invasive(s), "weekly", n)
         .select("period", "n", "species", avg_risk(count, F.col("high"), F.col("medium")).alias("avg_risk"), actions.alias("actions"))
     )
 
@@ -157,7 +171,7 @@ def timeline_monthly(s: DataFrame, n: int = 4) -> DataFrame:
         F.when(living >= 15, "Critical").when(living >= 8, "High").when(living >= 4, "Moderate").when(living >= 1, "Low").otherwise("Minimal")
     )
     return (
-        _by_period(_invasive(s), "monthly").orderBy(F.desc("period")).limit(n)
+        _latest(_invasive(s), "monthly", n)
         .select("period", "n", "species", severity.alias("severity"),
                 seasonal_factor(F.substring("period", 6, 2).cast("int")).alias("seasonal_factor"))
     )
@@ -173,7 +187,7 @@ def timeline_yearly(s: DataFrame, n: int = 3) -> DataFrame:
     )
     recovery = F.when(gone == 0, "No ecosystem recovery data available - no removal activities recorded").otherwise(text)
     return (
-        _by_period(_invasive(s), "yearly").orderBy(F.desc("period")).limit(n)
+        _latest(_invasive(s), "yearly", n)
         .select("period", "n", "species", gone.alias("removed"), recovery.alias("recovery"))
     )
 
@@ -181,16 +195,17 @@ def timeline_yearly(s: DataFrame, n: int = 3) -> DataFrame:
 def timeline_all(s: DataFrame, period: str, n: int | None = None) -> DataFrame:
     """All sightings by week, month or year with a short species text."""
     keep = n or {"weekly": 8, "monthly": 6, "yearly": 5}[period]
-    text = {
-        "weekly": _first_species(3), "monthly": _first_species(2),
-        "yearly": F.concat(F.size("species").cast("string"), F.lit(" unique species")),
-    }[period]
-    return _by_period(s, period).orderBy(F.desc("period")).limit(keep).select("period", "n", text.alias("species"))
+    if period == "yearly":
+        years = _periods(_per_species(s, period)).orderBy(F.desc("period")).limit(keep)
+        return years.select("period", "n", F.concat(F.col("n_species").cast("string"), F.lit(" unique species")).alias("species"))
+    shown = {"weekly": 3, "monthly": 2}[period]
+    return _latest(s, period, keep, shown).select("period", "n", _first_species(shown).alias("species"))
 
 
 def avg_risk_by(s: DataFrame, period: str) -> DataFrame:
-    return _by_period(s, period).select("period", "n", avg_risk(F.col("n"), F.col("high"), F.col("medium")).alias("avg_risk"))
+    return _periods(_per_species(s, period)).select("period", "n", avg_risk(F.col("n"), F.col("high"), F.col("medium")).alias("avg_risk"))
 
 
 def distinct_species(s: DataFrame, period: str) -> DataFrame:
-    return _by_period(s, period).select("period", F.size("species").alias("n_species"), F.sort_array("species").alias("species"))
+    named = s.select(period_key(F.col("created_at"), period).alias("period"), species_or("Unknown").alias("species")).distinct()
+    return named.groupBy("period").agg(F.count(F.lit(1)).cast("int").alias("n_species"), F.sort_array(F.collect_list("species")).alias("species"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators import advisory as adv
@@ -38,3 +40,18 @@ def advise(predictions: DataFrame, kb: DataFrame, fallback: str = "not_found") -
     if fallback == "basic":
         out = adv.basic_analysis(out).withColumn("summary", F.when(F.col("facts").isNull(), F.col("basic.summary")).otherwise(F.col("summary")))
     return out
+
+
+def advise_relatives(
+    predictions: DataFrame, kb: DataFrame, taxonomy: DataFrame | None = None, embed: Callable[[Column], Column] | None = None, max_distance: float | None = None,
+) -> DataFrame:
+    """As :func:`advise`, but species that the base does not hold get the advice of a relative or of the nearest name.
+
+    ``generalisation_level`` says which: exact, genus, family, similar or none.
+    """
+    clean = normalise_prediction(predictions)
+    placed = adv.cascade(clean, kb, taxonomy, embed, max_distance)
+    facts = adv.kb_facts(kb).select(F.col("scientific_name").alias("used_species"), "facts")
+    found = adv.advisory(placed.join(facts, "used_species", "left"))
+    level = F.col("generalisation_level")
+    return found.withColumn("advisory", F.col("advisory").withField("generalisation_level", level))

@@ -486,6 +486,37 @@ def advise(spark, d):
     return out.groupBy("summary", F.col("advisory.risk_level").alias("risk")).agg(F.count(F.lit(1)).alias("n"))
 
 
+SLIPS = VARIED.replace("ELSE nm END", "WHEN sighting_id % 9 = 5 THEN 'Bidenz pilosa' ELSE nm END")
+
+
+def letters_sql(name: str) -> str:
+    return "[" + ", ".join(f"length(lower({name})) - length(replace(lower({name}), '{x}', ''))" for x in "abcdefghijklmnopqrstuvwxyz") + "]"
+
+
+@query("advise_relatives", K(f"""{LOOK}{SLIPS}
+, nms AS (SELECT DISTINCT nm FROM vs)
+, g AS (SELECT split_part(lower(scientific_name),' ',1) AS g, min(scientific_name) AS gn FROM kb GROUP BY 1)
+, fam AS (SELECT lower(family) AS fm, min(scientific_name) AS fn FROM kb GROUP BY 1)
+, tx AS (SELECT split_part(lower(scientific_name),' ',1) AS g, min(lower(family)) AS fm FROM (SELECT scientific_name, family FROM kb UNION ALL SELECT 'Rosa x', 'Rosaceae') GROUP BY 1)
+, near AS (SELECT nm, arg_min(scientific_name, (d, scientific_name)) AS sn FROM (
+  SELECT nm, scientific_name, list_sum(list_transform(list_zip({letters_sql('nm')}, {letters_sql('scientific_name')}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM nms, kb) WHERE d <= 3 GROUP BY nm)
+, j AS (SELECT nms.nm, coalesce(e.scientific_name, c.scientific_name) AS en, gn, fn, sn FROM nms LEFT JOIN kb e ON lower(trim(nms.nm)) = lower(e.scientific_name)
+  LEFT JOIN kb c ON lower(trim(nms.nm)) = lower(c.common_names) AND c.common_names <> 'Not found'
+  LEFT JOIN g ON g.g = split_part(lower(trim(nms.nm)),' ',1) LEFT JOIN tx ON tx.g = split_part(lower(trim(nms.nm)),' ',1) LEFT JOIN fam ON fam.fm = tx.fm LEFT JOIN near USING (nm))
+, u AS (SELECT nm, coalesce(en, gn, fn, sn) AS used, CASE WHEN en IS NOT NULL THEN 'exact' WHEN gn IS NOT NULL THEN 'genus' WHEN fn IS NOT NULL THEN 'family' WHEN sn IS NOT NULL THEN 'similar' ELSE 'none' END AS level FROM j)
+SELECT sighting_id, level AS generalisation_level, used AS used_species, CASE WHEN used IS NULL THEN 'Unknown' ELSE {CATEGORY} END AS category,
+ CASE level WHEN 'exact' THEN 'Based on exact species match in database' WHEN 'none' THEN 'Species not found in database - manual identification required'
+  WHEN 'similar' THEN 'This advisory is based on ' || used || ', the nearest known name to ' || nm
+  ELSE 'This advisory is based on ' || used || ' characteristics as no specific data exists for ' || nm END AS disclaimer
+FROM vs JOIN u USING (nm) LEFT JOIN kb ON kb.scientific_name = used"""))
+def advise_relatives(spark, d):
+    named = varied(spark, d).select("sighting_id", F.when(F.col("sighting_id") % 9 == 5, "Bidenz pilosa").otherwise(F.col("lookup_name")).alias("predicted_species"), "confidence")
+    taxonomy = spark.sql("SELECT 'Rosa' AS genus, 'Rosaceae' AS family")
+    out = kb_plan.advise_relatives(named, kb(spark), taxonomy, tx.letter_counts, 3.0)
+    level = F.col("advisory.generalisation_level").alias("generalisation_level")
+    return out.select("sighting_id", level, "used_species", F.col("advisory.advisory_content")["legal_status"]["nemba_category"].alias("category"), "disclaimer")
+
+
 @query("legal_category", K(f"{MATCH} SELECT coalesce(en,cn) AS kb_name, {CATEGORY} AS category, {INVASIVE} AS invasive, count(*) AS n FROM f WHERE scientific_name IS NOT NULL GROUP BY 1,2,3"))
 def legal_category(spark, d):
     j = adv.species_lookup(varied(spark, d), kb(spark), columns=["treatment", "poisonous", "family"]).where("kb_name IS NOT NULL")
