@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from sightline.session import cut
 
 #: Classes of texts: the least length, and the length of a piece, a power of two.
-CLASSES = [(1, 1), (8, 4), (32, 8), (128, 32), (1024, 64)]
+CLASSES = [(1, 1), (8, 4), *((n, min(64, n // 4)) for n in (16, 32, 64, 128, 256, 512, 1024, 2048, 4096))]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 18
 
@@ -96,4 +96,5 @@ def contained(texts: DataFrame, by: list[str], order: Column) -> DataFrame:
     b = whole.select(*[F.col(c).alias(f"b_{c}") for c in whole.columns])
     met = pairs.join(a, F.col("inner") == F.col("a_id")).join(b, F.col("outer") == F.col("b_id"))
     inside = (F.col("b_o") < F.col("a_o")) & F.col("a_g").eqNullSafe(F.col("b_g")) & F.contains("b_part", "a_part")
-    return met.where(inside).select(F.col("inner").alias("id")).distinct()
+    # stored, so that its size decides whether texts must be moved to meet it
+    return cut(met.where(inside).select(F.col("inner").alias("id")).distinct())
