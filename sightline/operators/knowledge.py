@@ -98,9 +98,13 @@ def merge_species(records: DataFrame) -> DataFrame:
             F.min(F.struct(F.col(page).alias("page"), F.col("at"))).alias("first"), F.min_by("name", F.struct(page, "at")).alias("name"))
         .groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]).alias("common_names"))
     )
-    own = F.sort_array(F.collect_list(F.struct("page", "part")))
-    joined = narrative_parts(records).groupBy(key, "field").agg(F.array_join(F.transform(own, lambda x: x["part"]), "\n\n").alias("merged"))
-    narrative = joined.groupBy(key).agg(*[F.max(F.when(F.col("field") == c, F.col("merged"))).alias(c) for c in NARRATIVE])
+    gathered = narrative_parts(records).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("page", "part", "field"))).alias("parts"))
+
+    def field(c: str) -> Column:
+        own = F.transform(F.filter("parts", lambda x: x["field"] == c), lambda x: x["part"])
+        return F.nullif(F.array_join(own, "\n\n"), F.lit("")).alias(c)
+
+    narrative = gathered.select(key, *[field(c) for c in NARRATIVE])
     return (
         base.join(names, key, "left").join(narrative, key, "left")
         .select(key, F.coalesce("common_names", F.array().cast("array<string>")).alias("common_names"), *SINGLE, *NARRATIVE, page)
