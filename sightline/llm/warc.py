@@ -30,21 +30,44 @@ ENTITIES = [("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&#60;", "<"), ("&
             ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&ntilde;", "ñ"),
             ("&#38;", "&"), ("&amp;", "&")]
 SPACE_STEPS = [("[\\x20\\t\\r\\x0B\\x0C ]+", " "), (r"\x20?\n[\x20\n]*", "\n")]
+#: The same as ``SPACE_STEPS``, but a single space and a single line end, which stay as they are, are not matched.
+_SPACE_CHANGES = [("[\\x20\\t\\r\\x0B\\x0C ]{2,}|[\\t\\r\\x0B\\x0C ]", " "), (r"\x20\n[\x20\n]*|\n[\x20\n]+", "\n")]
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LINK = r"""(?i)<a[\x20\t\r\n][^>]*?href[\x20]*=[\x20]*["']([^"'>]*)["']"""
 BASE32_FROM, BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n"
 
 
-def plain_text(html: Column) -> Column:
-    """The text of a page: no markup, one line per block, single spaces."""
-    for pattern, to in TEXT_STEPS:
-        html = F.regexp_replace(html, pattern, to)
-    for name, to in ENTITIES:
-        html = F.replace(html, F.lit(name), F.lit(to))
-    for pattern, to in SPACE_STEPS:
+def _steps(html: Column, steps: list[tuple[str, str]]) -> Column:
+    for pattern, to in steps:
         html = F.regexp_replace(html, pattern, to)
-    return F.btrim(html, F.lit(" \n"))
+    return html
+
+
+def decoded(html: Column) -> Column:
+    """``html`` with ``ENTITIES`` replaced in their order, found at the ampersands instead of in one pass over the page each.
+
+    Only references to the ampersand can bring forth another reference, so the rest may be replaced in any order.
+    """
+    names = {name[1:-1]: to for name, to in ENTITIES if to != "&"}
+    stands_for = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    longest = max(map(len, names))
+
+    def piece(p: Column, i: Column) -> Column:
+        stop = F.instr(F.left(p, F.lit(longest + 1)), ";")
+        to = F.when(stop > 1, F.try_element_at(stands_for, F.left(p, stop - 1)))
+        found = F.concat(to, p.substr(stop + 1, F.length(p)))
+        return F.when(i == 0, p).otherwise(F.coalesce(found, F.concat(F.lit("&"), p)))
+
+    html = F.array_join(F.transform(F.split(html, "&"), piece), "")
+    for name in [name for name, to in ENTITIES if to == "&"]:
+        html = F.replace(html, F.lit(name), F.lit("&"))
+    return html
+
+
+def plain_text(html: Column) -> Column:
+    """The text of a page: no markup, one line per block, single spaces. ``TEXT_STEPS``, ``ENTITIES`` and ``SPACE_STEPS`` say what is replaced."""
+    return F.btrim(_steps(decoded(_steps(html, TEXT_STEPS)), _SPACE_CHANGES), F.lit(" \n"))
 
 
 def sha1_digest(block: Column) -> Column:
@@ -79,14 +102,14 @@ def _header(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value)
 
 
-def _record(kind: str, media: str, block: Column) -> Column:
+def _record(kind: str, media: str, block: Column, digest: Column) -> Column:
     lines = F.concat_ws(
         END, F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"), _header("WARC-Record-ID", F.col(f"{kind}_id")), _header("WARC-Date", F.col("date")),
-        _header("WARC-Target-URI", F.col("target_uri")), _header("WARC-Refers-To", F.col("record_id")), _header("WARC-Block-Digest", sha1_digest(block)),
+        _header("WARC-Target-URI", F.col("target_uri")), _header("WARC-Refers-To", F.col("record_id")), _header("WARC-Block-Digest", digest),
         _header("X-Source-Payload-Digest", F.col("payload_digest")), F.lit(f"Content-Type: {media}"), _header("Content-Length", F.octet_length(block).cast("string")),
     )
     return F.struct(
-        F.lit(kind).alias("warc_type"), F.col(f"{kind}_id").alias("record_id"), sha1_digest(block).alias("block_digest"),
+        F.lit(kind).alias("warc_type"), F.col(f"{kind}_id").alias("record_id"), digest.alias("block_digest"),
         F.octet_length(block).cast("long").alias("content_length"), F.concat(lines, F.lit(END + END), block).alias("record"),
     )
 
@@ -121,7 +144,10 @@ def derivatives(source: DataFrame, *keep: str) -> DataFrame:
         F.concat_ws(END, F.transform(links, lambda u: F.concat(F.lit("outlink: "), u))),
     )
     made = parsed.withColumn("text", F.when(is_text, text)).withColumn("fields", F.concat(fields, F.lit(END)))
-    both = F.array(_record("metadata", "application/warc-fields", F.col("fields")), F.when(F.col("text").isNotNull(), _record("conversion", "text/plain; charset=utf-8", F.col("text"))))
+    made = made.withColumns({f"{c}_digest": sha1_digest(F.col(c)) for c in ("text", "fields")})
+    metadata = _record("metadata", "application/warc-fields", F.col("fields"), F.col("fields_digest"))
+    conversion = _record("conversion", "text/plain; charset=utf-8", F.col("text"), F.col("text_digest"))
+    both = F.array(metadata, F.when(F.col("text").isNotNull(), conversion))
     return (
         made.withColumn("made", F.explode(F.array_compact(both)))
         .select(*keep, "made.warc_type", "made.record_id", F.col("record_id").alias("refers_to"), "target_uri", "date",
