@@ -17,8 +17,9 @@ from sightline.session import cut
 
 
 def _row_key(docs: DataFrame) -> Column:
-    """A key of the whole row; only rows that are equal in all columns share it."""
-    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), {"ignoreNullFields": "false"}), 256)
+    """A key of the whole row; only rows that are equal in all columns share it. Texts go into it by their digest."""
+    row = [F.sha2("text", 256).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return F.sha2(F.to_json(F.struct(*row), {"ignoreNullFields": "false"}), 256)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
