@@ -3,13 +3,13 @@
 A byte-level BPE tokenizer cuts a text into pre-tokens and encodes each one by itself. A text can
 therefore be cut at every single space between two other characters without changing its ids, and the
 ids of such a word can be kept: a corpus repeats its words far more often than it brings new ones.
-Words not seen before are cut into pre-tokens, and the distinct ones are encoded by the library in
-one call. Tokenizers of any other kind encode whole texts directly.
+A single line feed between such characters is a pre-token of its own, so texts are cut before it as well.
+Words not seen before are cut into pre-tokens, and the distinct ones that are new too are encoded by the
+library in one call. Tokenizers of any other kind encode whole texts directly.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import chain
 
 import numpy as np
@@ -22,13 +22,18 @@ from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 #: Fixed value: how byte-level BPE tokenizers of this family cut a text into pre-tokens.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _MARKS = frozenset(".,;:!?|")
-_RARE_SPACE = re.compile(r"[^\S \n]")
+_RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]  # Unicode has none beyond
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
 
 def cuts_anywhere(text: str) -> bool:
     """Whether every space stands between two characters that are no white space."""
-    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE_SPACE.search(text))
+    return not ("  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or any(c in text for c in _RARE_SPACES))
+
+
+def cut_lines(text: str) -> str:
+    """The text with a space before each line feed, if all stand alone: its words then start with what stood before them."""
+    return text if "\n\n" in text else text.replace("\n", " \n")
 
 
 def byte_letters() -> dict[int, int]:
@@ -40,6 +45,8 @@ def byte_letters() -> dict[int, int]:
 
 def pre_tokens(word: str) -> list[str]:
     """The pre-tokens of a word; letters with a mark after them, which most words are, need no pattern."""
+    if word[:1] == "\n" and word[1:2].strip():
+        return ["\n", *pre_tokens(word[1:])]
     body = word[1:] if word[:1] == " " else word
     if body.isalpha():
         return [word]
@@ -65,7 +72,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.memo_words = memo_words
-        self.memo: dict[str, bytes] = {}  # by the word without the space before it
+        self.memo: dict[str, bytes] = {}  # by the word without the space before it, or with a line feed instead
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         pre = self.whole.pre_tokenizer
         self.by_word = isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex and self.whole.normalizer is None
@@ -84,20 +91,22 @@ class Encoder:
     def _learn(self, words: list[str]) -> list[bytes]:
         """Ids of words that stand alone or after a cut, through their distinct pre-tokens."""
         cut = [pre_tokens(w) for w in words]
-        found = set(chain.from_iterable(cut))
-        lines = [p for p in found if "\n" in p]
-        ids = dict(zip(lines, self._plain(lines), strict=True))
-        new = list(found.difference(lines))
+        ids = {p: self.memo.get(p[1:]) if p[0] == " " else None for p in set(chain.from_iterable(cut))}
+        lines = [p for p in ids if "\n" in p]  # the memo has a word after a line feed where these have a space
+        ids.update(zip(lines, self._plain(lines), strict=True))
+        new = [p for p, x in ids.items() if x is None]
         if new:
-            raw = [p.encode() for p in new]
+            raw = list(map(str.encode, new))
             mapped = b"\n".join(raw).decode("latin-1")
             for b, letter in self.letters:
                 mapped = mapped.replace(b, letter)
             flat = np.asarray(self.pieces.encode_batch_fast([mapped], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.searchsorted(np.cumsum(self.lengths[flat]), np.cumsum([len(r) for r in raw])) + 1
+            ends = np.searchsorted(np.cumsum(self.lengths[flat]), np.cumsum(list(map(len, raw)))) + 1
             ends = (ends * self.dtype.itemsize).tolist()
             flat = flat.tobytes()
-            ids.update((p, flat[a:b]) for p, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+            ids.update(zip(new, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            if len(self.memo) < self.memo_words:
+                self.memo.update((p[1:], ids[p]) for p in new if p[0] == " " and len(p) > 1)
         return [ids[c[0]] if len(c) == 1 else b"".join([ids[p] for p in c]) for c in cut]
 
     def _ids_after_space(self, words: list[str]) -> list[bytes]:
@@ -106,7 +115,7 @@ class Encoder:
         gaps = list(_nones(ids))
         for a in range(0, len(gaps), 20_000):
             some = gaps[a : a + 20_000]
-            fresh = self._learn([" " + words[i] for i in some])
+            fresh = self._learn([w if w[:1] == "\n" else " " + w for w in map(words.__getitem__, some)])
             for i, x in zip(some, fresh, strict=True):
                 ids[i] = x
             if len(self.memo) < self.memo_words:
@@ -115,12 +124,12 @@ class Encoder:
 
     def _by_distinct_words(self, texts: list[str]) -> list[bytes]:
         """Texts that any single space may cut: words are found and told apart in bulk, and only distinct ones looked up."""
-        parts = [t.partition(" ") for t in texts]
+        parts = [cut_lines(t).partition(" ") for t in texts]
         firsts = self._learn([first for first, _, _ in parts])
         split = pc.split_pattern(pa.array([rest if space else None for _, space, rest in parts], pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
-        known = self._ids_after_space(coded.dictionary.to_pylist())
+        known = self._ids_after_space(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), self.dtype)
         n = size[codes]

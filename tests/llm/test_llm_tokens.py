@@ -43,6 +43,12 @@ def test_memo_gives_the_library_ids(texts):
     assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER.encode(texts)] == [ids_of(t) for t in texts]
 
 
+def test_line_feeds_are_cut_only_where_they_stand_alone():
+    texts = ["a\nb", "\na b\n", "a\n\nb c", "x y\n\n\nz", "a\n", "\n", "\n\n", "a b\n's it", "a \n  b", "q a\n.\nb, c.\nD", "\n  ab c", "a\x1c\nb", "k\u3000\nl", "w \n\tv"]
+    for some in (texts, texts[::-1], texts):
+        assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER.encode(some)] == [ids_of(t) for t in some]
+
+
 def test_other_tokenizers_encode_whole_texts():
     other = Encoder(public_tokenizers.path("word_bpe_49k.json"))
     assert not other.by_word
