@@ -34,22 +34,35 @@ DONE = "analysis_done"
 
 
 def _last_status(keep_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """Keeps the last result of a sighting, by time, then status and risk; a change comes out when it moves on."""
+    """Keeps the last result of each sighting of a bucket, by time, then status and risk; a change comes out when one moves on."""
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known = {i: (found, until) for i, *found, until in zip(*state.get)} if state.exists else {}
+        changes = []
+        if not state.hasTimedOut:
+            last, arrived = {}, 0
+            for part in rows:
+                arrived = max(arrived, int(part["arrived"].max()))
+                for i, *found in zip(part["sighting_id"].tolist(), part["at"].tolist(), part["status"], part["risk_level"]):
+                    if i not in last or _as_order(found) > _as_order(last[i]):
+                        last[i] = found
+            for i, found in last.items():
+                before = known[i][0] if i in known else None
+                if before is not None and _as_order(found) <= _as_order(before):
+                    continue  # late, or said before
+                known[i] = (found, arrived + keep_ms)
+                at, status, risk = found
+                if before is None or before[1:] != found[1:]:
+                    event = DONE if status == "completed" and (before is None or before[1] != "completed") else None
+                    changes.append((i, status, risk, at, event))
+        now = state.getCurrentWatermarkMs()
+        held = [(i, *found, until) for i, (found, until) in known.items() if until >= now]
+        if held:
+            state.update(tuple(list(c) for c in zip(*held)))
+            state.setTimeoutTimestamp(min(row[-1] for row in held))
+        elif state.exists:
             state.remove()
-            return
-        seen = [(part["arrived"].max(), max(zip(part["at"].tolist(), part["status"], part["risk_level"]), key=_as_order)) for part in rows]
-        arrived, found = int(max(a for a, _ in seen)), max((x for _, x in seen), key=_as_order)
-        known = state.getOption
-        if known is not None and _as_order(found) <= _as_order(known):
-            return  # late, or said before
-        state.update(found)
-        state.setTimeoutTimestamp(arrived + keep_ms)
-        at, status, risk = found
-        if known is None or (known[1], known[2]) != (status, risk):
-            event = DONE if status == "completed" and (known is None or known[1] != "completed") else None
-            yield pd.DataFrame({"sighting_id": [key[0]], "status": [status], "risk_level": [risk], "at": [at], "event": [event]})
+        if changes:
+            yield pd.DataFrame(changes, columns=["sighting_id", "status", "risk_level", "at", "event"])
 
     return step
 
@@ -64,19 +77,23 @@ def _as_order(result: tuple) -> tuple:
     return tuple((x is not None, x) for x in result)
 
 
-def stream_status(results: DataFrame, keep_days: int = 30) -> DataFrame:
+def stream_status(results: DataFrame, keep_days: int = 30, buckets: int = 4096) -> DataFrame:
     """Changes of status (sighting_id, status, risk_level, ts, event) from results (sighting_id, status, risk_level, ts).
 
     The state holds the last result per sighting and forgets it ``keep_days`` after its last change. Repeated results and
     results that are older than the known one change nothing; of several in one batch the last counts. A sighting that
     becomes completed gives one ``analysis_done`` event.
+
+    Sightings share a fixed number of ``buckets`` by a hash of their id: a call of Python and an entry of the state cost
+    more than a result does. A batch rewrites the buckets it touches. A stream keeps its number of buckets for good.
     """
-    final = results.where(F.col("sighting_id").isNotNull() & F.col("status").isin(*FINAL))
-    rows = final.select(F.col("sighting_id").cast("long").alias("sighting_id"), F.unix_micros("ts").alias("at"), "status", "risk_level")
+    rows = results.where(F.col("status").isin(*FINAL)).select(
+        F.col("sighting_id").cast("long").alias("sighting_id"), F.unix_micros("ts").alias("at"), "status", "risk_level").where("sighting_id IS NOT NULL")
     # a time that is missing is before all others
-    changes = _arriving(rows.withColumn("at", F.coalesce("at", F.lit(-(1 << 62))))).groupBy("sighting_id").applyInPandasWithState(
+    rows = rows.withColumn("at", F.coalesce("at", F.lit(-(1 << 62)))).withColumn("bucket", F.pmod(F.xxhash64("sighting_id"), F.lit(buckets)))
+    changes = _arriving(rows).groupBy("bucket").applyInPandasWithState(
         _last_status(keep_days * 86_400_000), "sighting_id long, status string, risk_level string, at long, event string",
-        "at long, status string, risk_level string", "append", GroupStateTimeout.EventTimeTimeout)
+        "ids array<long>, at array<long>, status array<string>, risk_level array<string>, until array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return changes.select("sighting_id", "status", "risk_level", F.when(F.col("at") > -(1 << 62), F.timestamp_micros("at")).alias("ts"), "event")
 
 
