@@ -17,14 +17,14 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def distinct_ignore_case(names: Column) -> Column:
-    """Keep the first spelling of each name, in order. Spellings meet by sorting, so long lists stay cheap."""
-    spelled = F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n, i: F.struct(F.lower(n).alias("key"), i.alias("at"), n.alias("name")))
+    """Keep the first spelling of each name, in order. Repeats go first, other spellings meet by sorting, so long lists stay cheap."""
+    spelled = F.transform(F.filter(F.array_distinct(names), lambda n: n.isNotNull()), lambda n, i: F.struct(F.lower(n).alias("key"), i.alias("at"), n.alias("name")))
 
     def firsts(ordered: Column) -> Column:
         kept = F.filter(ordered, lambda x, k: (k == 0) | (F.get(ordered, k - 1)["key"] != x["key"]))
-        return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["at"], x["name"]))), lambda x: x["name"])
+        return F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(x["at"], x["name"]))), lambda x: x["name"])
 
-    return bind(F.array_sort(spelled), firsts)
+    return bind(F.sort_array(spelled), firsts)
 
 
 def ordered_name_union(first: Column, second: Column) -> Column:

@@ -132,7 +132,8 @@ UNIQ = "list_filter({a}, lambda x, i: list_position(list_transform({a}, lambda y
  SELECT doc_id, min(i) AS first, arg_min(word, i) AS name FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents))
  GROUP BY doc_id, lower(word)) GROUP BY doc_id""")
 def ordered_name_union(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(ar.ordered_name_union(words(), F.transform(words(), F.lower)), "|").alias("names"))
+    names = ar.bind(words(), lambda w: ar.ordered_name_union(w, F.transform(w, F.lower)))
+    return docs(spark, d).select("doc_id", F.array_join(names, "|").alias("names"))
 
 
 @query("name_keys", f"SELECT doc_id, array_to_string(list_transform(list_filter({WORDS}, lambda x: x <> ''), lambda x: lower({strip_sql('x')})), '|') AS keys FROM documents")
