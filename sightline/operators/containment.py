@@ -5,7 +5,8 @@ text that lies inside another has all its stretches there too, so each of its pi
 looks for the one of its pieces that the fewest texts of its group have; only those are compared letter by letter.
 
 Short texts need short stretches, which are many. A group is cut into stretches of a length only if some text of the
-group is of that length's class.
+group is of that length's class. Groups of few texts and letters are not cut: there each text is looked for in the
+earlier ones.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from sightline.session import cut
 
 #: Classes of texts: the least length, and the length of a piece, a power of two.
 CLASSES = [(1, 1), (8, 4), *((n, min(64, n // 4)) for n in (16, 32, 64, 128, 256, 512, 1024, 2048, 4096))]
+#: Most texts, and most letters of all of them, of a group that is not cut.
+FEW, FEW_LETTERS = 16, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 18
 
@@ -82,7 +85,11 @@ def contained(texts: DataFrame, by: list[str], order: Column) -> DataFrame:
     group = F.xxhash64(*by)  # groups that share a hash are told apart when texts are compared
     rows = texts.select("id", group.alias("group"), "part", _class(F.col("part")).alias("own"))
     # stored, so that its size decides whether the texts must be moved to meet it
-    kinds = cut(rows.groupBy("group").agg(F.collect_set("own").alias("kinds"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    sizes = cut(rows.groupBy("group").agg(
+        F.collect_set("own").alias("kinds"), F.count(F.lit(1)).alias("n"), F.sum(F.length("part")).alias("letters"),
+    ).where("n > 1").select("group", "kinds", ((F.col("n") <= FEW) & (F.col("letters") <= FEW_LETTERS)).alias("few")))
+    among_few = _among_few(texts.withColumn("group", group).join(sizes.where("few").select("group"), "group"), by, order)
+    kinds = sizes.where("NOT few").drop("few")
     cut_up = rows.join(kinds, "group").mapInArrow(_cut_up, "id long, group long, kind int, piece long, own boolean")
     known = cut(cut_up)
     spread = known.groupBy("group", "kind", "piece").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -97,4 +104,11 @@ def contained(texts: DataFrame, by: list[str], order: Column) -> DataFrame:
     met = pairs.join(a, F.col("inner") == F.col("a_id")).join(b, F.col("outer") == F.col("b_id"))
     inside = (F.col("b_o") < F.col("a_o")) & F.col("a_g").eqNullSafe(F.col("b_g")) & F.contains("b_part", "a_part")
     # stored, so that its size decides whether texts must be moved to meet it
-    return cut(met.where(inside).select(F.col("inner").alias("id")).distinct())
+    return cut(met.where(inside).select(F.col("inner").alias("id")).distinct().union(among_few))
+
+
+def _among_few(texts: DataFrame, by: list[str], order: Column) -> DataFrame:
+    """(id) of the texts that an earlier one of their small group contains."""
+    groups = texts.groupBy("group", *by).agg(F.collect_list(F.struct(order.alias("o"), "part", "id")).alias("all"))
+    inner = F.filter("all", lambda x: F.exists("all", lambda y: (y["o"] < x["o"]) & F.contains(y["part"], x["part"])))
+    return groups.select(F.explode(F.transform(inner, lambda x: x["id"])).alias("id"))
