@@ -24,9 +24,8 @@ def _row_key(docs: DataFrame) -> Column:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps, row by row."""
-    keyed = docs.withColumn("__row", _row_key(docs))
-    scored = site_quality.score(keyed, spark.read.parquet(f"{sf_dir}/labels.parquet"), host="source", path="lang", key="__row")
-    return keyed.join(scored.where("keep").select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    scored = site_quality.score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), host="source", path="lang", whole=True)
+    return scored.where("keep").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def strength(groups: DataFrame) -> float:
 
 
 def posteriors(evidence: DataFrame) -> DataFrame:
-    """Adds host and path posteriors and the combined posterior to rows (doc_id, host, path, evidence)."""
+    """Adds host and path posteriors and the combined posterior to rows (doc_id, host, path, evidence, and ``row`` if there)."""
     rows = evidence.withColumns({"_host": _key("host"), "_path": _key("path")})
     sums = [F.sum(c).alias(c) for c in ("n", "total", "squares")]
     paths = cut(rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("evidence").alias("total"), F.sum(F.pow("evidence", F.lit(2))).alias("squares")))
@@ -104,19 +104,21 @@ def posteriors(evidence: DataFrame) -> DataFrame:
         .withColumn("host_posterior", host)
         .withColumn("path_posterior", path)
         .withColumn("posterior", F.expr("1e0") / (1 + F.exp(-(_logit(own) + _logit(F.col("path_posterior")) - _logit(F.lit(mean))))))
-        .select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", "posterior")
+        .select(*evidence.columns, "host_posterior", "path_posterior", "posterior")
     )
 
 
-def score(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int = SAMPLE, threshold: float = 0.5, key: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, host: str, path: str, sample: int = SAMPLE, threshold: float = 0.5, key: str = "doc_id", whole: bool = False) -> DataFrame:
     """(doc_id, host, path, evidence, host_posterior, path_posterior, posterior, keep) of every row of ``docs``.
 
-    The column ``key`` names the rows in the result; labels are always found by ``doc_id``.
+    The column ``key`` names the rows in the result; labels are always found by ``doc_id``. With ``whole`` each row of
+    ``docs`` goes along as the struct ``row``: it is stored beside its evidence and meets only the sums of its site.
     """
     model = fit(docs, labels, sample)
-    rows = docs.select(F.col(key).alias("doc_id"), "text", F.col(host).alias("host"), F.col(path).alias("path"))
+    rows = docs.select(F.col(key).alias("doc_id"), "text", F.col(host).alias("host"), F.col(path).alias("path"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []))
     if model is None:
         rows = rows.withColumn("evidence", F.lit(0.5))
     else:
         rows = model.transform(features(rows)).withColumn("evidence", vector_to_array("probability")[1])
-    return posteriors(cut(rows.select("doc_id", "host", "path", "evidence"))).withColumn("keep", F.col("posterior") >= threshold)
+    stored = ["doc_id", "host", "path", "evidence", *(["row"] if whole else [])]
+    return posteriors(cut(rows.select(*stored))).withColumn("keep", F.col("posterior") >= threshold)
