@@ -31,7 +31,11 @@ _SURFACE = ["_length", "_upper", "_marks", "_distinct"]
 
 
 def features(docs: DataFrame, buckets: int = 1 << 15) -> DataFrame:
-    """Adds ``features``: the words of the whole text, hashed, and four figures of its surface."""
+    """Adds ``features``: the words of the whole text, hashed, and four figures of its surface.
+
+    The assembler names every bucket in the column's metadata; only their number is kept, or each plan, file and task of
+    the fit would carry tens of thousands of names.
+    """
     text = F.coalesce("text", F.lit(""))
     letters = F.greatest(F.length(text), F.lit(1))
     words = docs.withColumn("_words", F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
@@ -42,7 +46,9 @@ def features(docs: DataFrame, buckets: int = 1 << 15) -> DataFrame:
         "_distinct": F.size(F.array_distinct("_words")) / F.greatest(F.size("_words"), F.lit(1)),
     })
     hashed = HashingTF(numFeatures=buckets, binary=True, inputCol="_words", outputCol="_hashed").transform(figured)
-    return VectorAssembler(inputCols=["_hashed", *_SURFACE], outputCol="features").transform(hashed).drop("_words", "_hashed", *_SURFACE)
+    assembled = VectorAssembler(inputCols=["_hashed", *_SURFACE], outputCol="features").transform(hashed)
+    sized = F.col("features").alias("features", metadata={"ml_attr": {"num_attrs": buckets + len(_SURFACE)}})
+    return assembled.select(*[F.col(f"`{c}`") for c in docs.columns], sized)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = 7):
