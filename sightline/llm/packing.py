@@ -27,6 +27,10 @@ from sightline.llm.tokens import batches, encoder
 from sightline.session import cut
 
 
+#: Letters of one call of the encoder, about: it looks up each distinct word once per call.
+CALL_LETTERS = 24_000_000
+
+
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: whole capacities, with the shorter piece first."""
     first = n % capacity or min(n, capacity)
@@ -36,13 +40,13 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids and the end id."""
     def of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, end = encoder(tokenizer), end_id.to_bytes(4, "little")
         for b in stream:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for part in batches(texts):
+            for part in batches(texts, CALL_LETTERS):
                 at, rows = [], []
                 for i, ids in enumerate(enc.encode(texts[part]), part.start):
-                    full = np.append(np.frombuffer(ids, enc.dtype), enc.dtype.type(end_id)).astype("<u4").tobytes()
+                    full = np.frombuffer(ids, enc.dtype).astype("<u4").tobytes() + end
                     for k, (start, n) in enumerate(cut_points(len(full) // 4, capacity)):
                         at.append(i)
                         rows.append((k, start, n, crc32(full[4 * start : 4 * (start + n)])))

@@ -66,12 +66,15 @@ def _nones(x: list):
 
 
 class Encoder:
-    """Ids of texts as arrays of ``dtype``; the memo keeps the first ``memo_words`` words it meets."""
+    """Ids of texts as arrays of ``dtype``; the memo keeps the first ``memo_words`` words it meets.
 
-    def __init__(self, path: str, memo_words: int = 1_600_000):
+    Distinct words are looked up once per call, however many texts it has; ids are written out ``run_words`` words at a time.
+    """
+
+    def __init__(self, path: str, memo_words: int = 1_600_000, run_words: int = 1_000_000):
         self.whole = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo_words = memo_words
+        self.memo_words, self.run_words = memo_words, run_words
         self.memo: dict[str, bytes] = {}  # by the word without the space before it, or with a line feed instead
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         pre = self.whole.pre_tokenizer
@@ -126,18 +129,30 @@ class Encoder:
         """Texts that any single space may cut: words are found and told apart in bulk, and only distinct ones looked up."""
         parts = [cut_lines(t).partition(" ") for t in texts]
         firsts = self._learn([first for first, _, _ in parts])
-        split = pc.split_pattern(pa.array([rest if space else None for _, space, rest in parts], pa.large_string()), " ")
+        rests = pa.array([rest if space else None for _, space, rest in parts], pa.large_string())
+        del parts  # texts are large: each form goes when the next one is there
+        split = pc.split_pattern(rests, " ")
+        del rests
+        last = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(), dtype=np.int64)
         coded = split.flatten().dictionary_encode()
-        codes = coded.indices.to_numpy()
-        known = self._ids_after_space(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        del split
+        codes, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        del coded
+        known = self._ids_after_space(words)
+        del words
         size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(known), self.dtype)
-        n = size[codes]
-        ends = np.cumsum(n)
-        ids = flat[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start[codes] - (ends - n), n)]
-        last = np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy())
-        upto = np.concatenate([[0], ends])[last].tolist()
-        return [f + ids[a:b].tobytes() for f, a, b in zip(firsts, [0, *upto[:-1]], upto, strict=True)]
+        del known
+        out: list[bytes] = []
+        for some in np.split(last, np.flatnonzero(np.diff(last // self.run_words)) + 1):  # texts whose ids are written out at a time
+            before = int(last[len(out) - 1]) if out else 0
+            run = codes[before : int(some[-1])]
+            n = size[run]
+            ends = np.cumsum(n)
+            ids = flat[np.arange(int(ends[-1]) if len(n) else 0) + np.repeat(start[run] - (ends - n), n)]
+            upto = np.concatenate([[0], ends])[some - before].tolist()
+            out += [f + ids[a:b].tobytes() for f, a, b in zip(firsts[len(out) : len(out) + len(some)], [0, *upto[:-1]], upto, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as the bytes of a little-endian array."""
