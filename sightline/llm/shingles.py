@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm import pigeonring
+from sightline.llm import pigeonring, worker
 from sightline.llm.graph import components
 from sightline.session import cut
 
@@ -69,6 +69,7 @@ def bands(found: set[bytes]) -> np.ndarray:
 def sketches(texts: DataFrame, words: int) -> DataFrame:
     """(id, fp, size, bands) of every row of ``texts`` (id, text)."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.let_go()
         for b in batches:
             fps, sizes, keys = [], [], []
             for t in b.column(1):

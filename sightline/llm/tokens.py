@@ -19,6 +19,8 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
+from sightline.llm import worker
+
 #: Fixed value: how byte-level BPE tokenizers of this family cut a text into pre-tokens.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _MARKS = frozenset(".,;:!?|")
@@ -177,14 +179,11 @@ class Encoder:
         return [f + b"".join([ids[x] for x in w[1:]]) for f, w in zip(firsts, cut, strict=True)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker; later tasks of the worker find its memo filled."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The encoder of this Python worker; later tasks of the worker find its memo filled, unless other work let go of it."""
+    if path not in worker.KEPT:
+        worker.KEPT[path] = Encoder(path)
+    return worker.KEPT[path]
 
 
 def batches(texts: list[str], letters: int = 6_000_000):
